@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.functions.shipping import ship
 from graphloom.llm._common import table
 
 GRAM = 3
@@ -143,6 +144,7 @@ class Block:
 def _blocks(docs: DataFrame, items: DataFrame, id_col: str, item_text: str, text: str):
     """(block, broadcast block, item ids) for each block of items, with seeds by the whole corpus."""
     spark = docs.sparkSession
+    ship(spark)
     items = items.select(F.col(id_col).alias("id"), F.col(item_text).alias("text")).where("text is not null")
     n = -(-(items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BLOCK_BYTES)
     for b in range(n):

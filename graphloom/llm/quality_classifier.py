@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.functions.shipping import ship
 from graphloom.llm._common import CONTINUATION, held_out, table
 from graphloom.llm._training import labelled_sample
 
@@ -103,6 +104,7 @@ def _vectors():
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = TRAIN_ROWS, id_col: str = "doc_id", text: str = "text") -> tuple[float, np.ndarray, np.ndarray]:
+    ship(docs.sparkSession)
     sample = labelled_sample(docs, labels, label, rows, id_col, text)
     got = sample.select("doc_id", "y", _vectors()(F.col("text").cast("binary")).alias("v")).collect()  # at most ``rows`` sparse vectors
     return fit([(np.array(r.v.i, np.int32), np.array(r.v.x, np.float32), r.y) for r in sorted(got, key=lambda r: r.doc_id)])

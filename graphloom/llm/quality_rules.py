@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.functions.shipping import ship
 from graphloom.llm._common import CONTINUATION, fresh, settle, small_side
 
 #: Growth of the sketch's buckets: a value is known within one percent.
@@ -88,6 +89,7 @@ def _measures():
 
 def features(docs: DataFrame, into: str, text: str = "text") -> DataFrame:
     """docs with a struct of the counts in column ``into``; only the text goes to Python."""
+    ship(docs.sparkSession)
     return docs.withColumn(into, _measures()(F.col(text).cast("binary")))
 
 

@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.functions.shipping import ship
 from graphloom.llm._common import settle, table
 
 _QUOTE = re.compile(r"[ \t]*((?:>[ \t]?)+)")
@@ -92,6 +93,7 @@ def link_conversations(messages: DataFrame, conv: str = "conv_id", turn: str = "
 
     Read by (root_turn, depth, turn), a conversation's messages stand in the order of replies.
     """
+    ship(messages.sparkSession)
     m = messages.select(F.col(conv).alias("conv"), F.col(turn).alias("turn"), F.col(role).alias("role"), _parser()(F.col(text)).alias("p"))
     parsed = settle(m.select("conv", "turn", "role", "p.body", "p.said"))
     lines = parsed.where("conv is not null and turn is not null").select("conv", "turn", F.explode("said").alias("s")).select("conv", "turn", "s.level", F.md5(F.col("s.line").cast("binary")).alias("h"), F.length("s.line").alias("n"))

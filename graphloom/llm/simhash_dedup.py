@@ -28,6 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.functions.shipping import ship
 from graphloom.llm._common import fresh, settle
 
 SHINGLE, SEED, BITS = 3, 42, 2
@@ -59,6 +60,7 @@ def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
 
 def fingerprints(docs: DataFrame, into: str, text: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """docs with the fingerprint as a long in column ``into``; only the text goes to Python."""
+    ship(docs.sparkSession)
 
     @F.arrow_udf("long")
     def prints(texts: pa.Array) -> pa.Array:
@@ -107,6 +109,7 @@ def _forest(members: np.ndarray, bits: int) -> list[tuple[int, int]]:
 
 def links(distinct: DataFrame, fp: str = "fp") -> DataFrame:
     """(a, b): links that connect what is within reach. distinct: one row per fingerprint."""
+    ship(distinct.sparkSession)
     masks = []
     for free in combinations(range(8), BITS):
         m = (1 << 64) - 1

@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.functions.shipping import ship
 from graphloom.llm._common import table
 
 #: Where the vocabulary is by default; nothing of it is kept here.
@@ -114,6 +115,7 @@ _held: dict = {}
 
 def count_tokens(docs: DataFrame, vocabulary: str | list = VOCABULARY, id_col: str = "doc_id", text: str = "text", byte_fallback: bool = True) -> DataFrame:
     """(doc_id, n_tokens) of every row. The vocabulary is read on the driver and sent once to each executor."""
+    ship(docs.sparkSession)
     pieces = read_vocabulary(vocabulary) if isinstance(vocabulary, str) else list(vocabulary)
     sent = docs.sparkSession.sparkContext.broadcast(pieces)
     name = hash((tuple(pieces), byte_fallback))
