@@ -19,23 +19,27 @@ from __future__ import annotations
 import math
 import re
 import string
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.functions.shipping import ship
 from graphloom.llm._common import held_out, settle, table
 from graphloom.llm._training import labelled_sample
 
 TRAIN_ROWS = 6000
-#: Toxic documents a term needs, and its least share of toxic ones, for words and for stems of STEM bytes.
-MIN_WORD, MIN_STEM, PURE_WORD, PURE_STEM = 6, 12, 0.9, 0.97
+#: Different contexts in toxic documents that a term needs, and its least share of toxic ones, for words and for stems of STEM bytes.
+MIN_WORD, MIN_STEM, PURE_WORD, PURE_STEM = 5, 8, 0.95, 0.9
 STEM = (5, 6, 7, 8)
 #: Terms that are kept at most, those of most documents first.
 MAX_TERMS = 2000
 #: Terms from this length are matched within one edit.
 FUZZY = 5
+#: Part of an exact hit that a misspelled term counts as.
+TRUST = 0.7
 #: Words around a hit that are its context.
 CONTEXT = 4
 REPORTING = frozenset(b"said says quote quoted quotes wrote writes called reported".split())
@@ -136,7 +140,7 @@ def features(text: bytes | None, lexicon: Lexicon) -> tuple[float, ...]:
     kinds = [lexicon[w] for w in words]
     if not any(kinds):
         return (0.0,) * 5
-    sums = [0, 0, 0, 0]
+    sums = [0.0] * 4
     before: list[bytes] = []
     for m in _TOKEN.finditer(text.lower()):
         word = m[0]
@@ -144,7 +148,9 @@ def features(text: bytes | None, lexicon: Lexicon) -> tuple[float, ...]:
             if kind := lexicon[w]:
                 sums[3 if quoted(text, m.start(), m.end(), before) else kind - 1] += 1
             before = [*before[-CONTEXT + 1 :], w]
-    return (*(math.log1p(s) for s in sums), 10 * (sum(sums) - sums[3]) / len(words))
+    # a sample may hold no misspelling: one counts as a part of a hit besides what its own weight says
+    sums[0] += TRUST * sums[2]
+    return (*(math.log1p(s) for s in sums), 10 * (sums[0] + sums[1]) / len(words))
 
 
 def learn(sample: DataFrame) -> tuple[list[bytes], list[bytes], frozenset[bytes], frozenset[bytes]]:
@@ -152,15 +158,25 @@ def learn(sample: DataFrame) -> tuple[list[bytes], list[bytes], frozenset[bytes]
 
     def entries(batches):
         for batch in batches:
-            out: list[tuple[bytes, bool, int]] = []
+            out: list[tuple[bytes, bool, int, int]] = []
             for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                words = set(words_of(text))
-                out += [(w, False, y) for w in words if len(w) >= 3]
-                out += [(s, True, y) for s in {w[:n] for w in words for n in STEM if len(w) > n}]
-            term, stem, toxic = zip(*out, strict=True) if out else ((), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(term, pa.binary()), pa.array(stem, pa.bool_()), pa.array(toxic, pa.int64())], ["term", "stem", "toxic"])
-
-    counted = sample.select(F.col("text").cast("binary").alias("t"), "y").mapInArrow(entries, "term binary, stem boolean, toxic long").groupBy("term", "stem").agg(F.sum("toxic").alias("toxic"), F.count(F.lit(1)).alias("n"))
+                words = words_of(text)
+                first: dict[tuple[bytes, bool], int] = {}
+                for i, w in enumerate(words):
+                    if len(w) >= 3 and (w, False) not in first:
+                        around = crc32(b" ".join(words[max(0, i - 1) : i] + words[i + 1 : i + 2]))
+                        for term in [(w, False), *((w[:n], True) for n in STEM if len(w) > n)]:
+                            first.setdefault(term, around)
+                out += [(*term, y, around) for term, around in first.items()]
+            term, stem, toxic, around = zip(*out, strict=True) if out else ((), (), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(term, pa.binary()), pa.array(stem, pa.bool_()), pa.array(toxic, pa.int64()), pa.array(around, pa.int64())], ["term", "stem", "toxic", "around"])
+
+    # copies of a document show a term between the same neighbours: together they count once
+    counted = (
+        sample.select(F.col("text").cast("binary").alias("t"), "y").mapInArrow(entries, "term binary, stem boolean, toxic long, around long")
+        .groupBy("term", "stem", "around").agg(F.max("toxic").alias("toxic"))
+        .groupBy("term", "stem").agg(F.sum("toxic").alias("toxic"), F.count(F.lit(1)).alias("n"))
+    )
     pure = counted.where(F.when(F.col("stem"), (F.col("toxic") >= MIN_STEM) & (F.col("toxic") >= PURE_STEM * F.col("n"))).otherwise((F.col("toxic") >= MIN_WORD) & (F.col("toxic") >= PURE_WORD * F.col("n"))))
     found = pure.orderBy(F.desc("toxic"), "stem", "term").limit(MAX_TERMS).collect()  # the model: bounded
     stems = sorted({bytes(r.term) for r in found if r.stem}, key=len)
@@ -203,6 +219,7 @@ def fit(rows: list[tuple[tuple[float, ...], int]], steps: int = 400) -> tuple[fl
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = TRAIN_ROWS, id_col: str = "doc_id", text: str = "text"):
     """((words, stems, exceptions, crowded words), (bias, weights)) learned from at most ``rows`` labelled documents."""
+    ship(docs.sparkSession)
     sample = settle(labelled_sample(docs, labels, label, rows, id_col, text))
     terms = learn(sample)
 
