@@ -23,7 +23,7 @@ def base_path(marker: str | None) -> str | None:
 
 def estimated_bytes(df: DataFrame) -> int:
     """Catalyst's estimate of the size of df; nothing is run."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
 def partitions_for(size: int, target: int = FILE_BYTES) -> int:

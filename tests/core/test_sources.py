@@ -1,0 +1,124 @@
+import io
+from pathlib import Path
+
+import pytest
+from pyspark.errors import PySparkException
+from pyspark.sql import functions as F
+
+from graphloom.config import create_session, load_config
+from graphloom.functions.values import column, prop, type_is
+from graphloom.operators.mapping import ElementMapping
+from graphloom.operators.rollup import rollup
+from graphloom.plans.workflow import Workflow
+from graphloom.sources import storage
+from graphloom.sources.delimited import DelimitedSource, cast_columns, file_mapping
+from graphloom.streaming.triples import stream_triples
+
+PROTEINS = "accession\tname\tgene accession\tlink notes\n# a comment\nQA01\tp one\tG1\tgood\nQA02\tp two\tG2\t\nQA02\tp deux\tG2\t\n0012\tp three\t\t\n"
+
+
+@pytest.fixture
+def proteins(tmp_path):
+    (tmp_path / "p.tsv").write_text(PROTEINS)
+    return str(tmp_path / "p.tsv")
+
+
+def test_delimited_defaults(spark, proteins):
+    m = file_mapping("accession", type_is("Protein"), prop("name"), prop("notes", "link notes"))
+    t = m.triples(spark, proteins)
+    assert t.count() == 4 + 4 + 1
+    assert {r.id: r.properties["name"] for r in rollup(t).collect()}["QA02"] == ['"p deux"', '"p two"']
+
+
+def test_delimited_types(spark, tmp_path):
+    (tmp_path / "g.csv").write_text("id,n,x\n0012,7,a\n")
+    inferred = DelimitedSource({"delimiter": ","}, {"id": "string"}).read(spark, str(tmp_path / "g.csv"))
+    assert dict(inferred.dtypes) == {"id": "int", "n": "int", "x": "string"}
+    given = DelimitedSource({"delimiter": ",", "inferSchema": False}, {"n": "int", "none": "int"}).read(spark, str(tmp_path / "g.csv"))
+    assert tuple(given.first()) == ("0012", 7, "a")
+    with pytest.raises(ValueError, match="header"):
+        DelimitedSource({"header": False}).read(spark, str(tmp_path / "g.csv"))
+
+
+def test_casts(spark):
+    df = spark.createDataFrame([("1", "x")], "id string, name string")
+    assert cast_columns(df, {"nothing": "int"}) is df
+    assert cast_columns(df, {"id": "int"}).dtypes == [("id", "int"), ("name", "string")]
+    assert cast_columns(df, {"name": "int"}, lenient=True).first().name is None
+    with pytest.raises(PySparkException):
+        cast_columns(df, {"name": "int"}).collect()
+
+
+def test_saving_and_loading(spark, proteins, tmp_path):
+    out = str(tmp_path / "t")
+    saved = file_mapping("accession", prop("name")).triples(spark, proteins, out)
+    assert saved.count() == 4 and Path(storage.marker_path(out)).exists()
+    assert storage.load(storage.marker_path(out), spark).count() == storage.load(out, spark).count() == 4
+    assert storage.load(saved) is saved
+    with pytest.raises(ValueError):
+        storage.load(out)
+    assert storage.marker_path("") == "" and storage.marker_path(None) is None
+    assert storage.base_path("/a/_SUCCESS") == "/a" and storage.base_path("/a") == "/a" and storage.base_path(None) is None
+    assert [storage.partitions_for(n, 100) for n in (0, 99, 100, 1000)] == [1, 1, 1, 10]
+
+
+def test_file_sizes(spark, tmp_path):
+    df = spark.range(1000).withColumn("name", F.sha2(F.col("id").cast("string"), 256)).repartition(10)
+    assert storage.estimated_bytes(df) > 0
+    storage.save(df, str(tmp_path / "few"))
+    assert len(list((tmp_path / "few").glob("*.parquet"))) == 1
+    storage.save(spark.range(200_000).withColumn("name", F.sha2(F.col("id").cast("string"), 256)), str(tmp_path / "many"), target_bytes=1 << 20)
+    assert len(list((tmp_path / "many").glob("*.parquet"))) > 3
+    assert storage.save(df.limit(5), str(tmp_path / "few")).count() == 5
+
+
+def test_union(spark, tmp_path):
+    a = spark.createDataFrame([(1, "a")], "id long, name string")
+    b = spark.createDataFrame([("b", 2)], "name string, id long")
+    storage.save(a, str(tmp_path / "a"))
+    assert sorted(map(tuple, storage.union_all(str(tmp_path / "a"), b, spark=spark).collect())) == [(1, "a"), (2, "b")]
+    assert storage.union_all(a, b.select("id"), allow_missing=True).where("name IS NULL").count() == 1
+    with pytest.raises(ValueError):
+        storage.union_all()
+
+
+def test_configuration(monkeypatch, tmp_path):
+    monkeypatch.setenv("GL_A", "here")
+    monkeypatch.delenv("GL_B", raising=False)
+    text = "a: ${GL_A}\nb: '${GL_B}'\nc: ${GL_B: 42}/${GL_A:x}\nd: '${GL_B:}'\ne: [1, 2]\n"
+    want = {"a": "here", "b": "", "c": "42/here", "d": "", "e": [1, 2]}
+    (tmp_path / "c.yml").write_text(text)
+    assert load_config(text) == load_config(tmp_path / "c.yml") == load_config(str(tmp_path / "c.yml")) == load_config(io.StringIO(text)) == want
+    monkeypatch.setattr("sys.stdin", io.StringIO(text))
+    assert load_config() == want
+
+
+def test_session(spark):
+    assert create_session({"config": {"spark.sql.shuffle.partitions": "4"}}).sparkContext is spark.sparkContext
+    own = create_session({"getOrCreate": False, "master": "local[4]"})
+    assert own is not spark and own.sparkContext is spark.sparkContext
+
+
+def test_workflow(spark, tmp_path, proteins):
+    def flow():
+        return (
+            Workflow(spark, str(tmp_path / "w"))
+            .add("triples", lambda s: file_mapping("accession", prop("name"), type_is("P")).triples(s, proteins), files=[proteins])
+            .add("graph", lambda s, t: rollup(t), "triples")
+        )
+
+    first, second = flow(), flow()
+    assert first.result("graph").count() == 3 and first.ran == ["triples", "graph"]
+    assert second.result("graph").count() == 3 and second.ran == []
+    with pytest.raises(ValueError):
+        flow().add("x", lambda s: None, "nothing")
+
+
+def test_stream(spark, tmp_path):
+    spark.createDataFrame([(1, "a"), (2, None)], "k long, v string").write.parquet(str(tmp_path / "in"))
+    rows = spark.readStream.schema("k long, v string").parquet(str(tmp_path / "in"))
+    m = ElementMapping(column("k").wrapped("x:"), (type_is("T"), prop("v")))
+    stream_triples(rows, m, str(tmp_path / "out"), str(tmp_path / "state"), availableNow=True).awaitTermination(60)
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 3
+    with pytest.raises(ValueError):
+        stream_triples(spark.range(1), m, "x", "y")
