@@ -142,7 +142,7 @@ def simhash(text):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
-def classes(prints):
+def classes(prints, sets=None, near=None):
     root = list(range(len(prints)))
 
     def find(i):
@@ -152,7 +152,7 @@ def classes(prints):
 
     for i in range(len(prints)):
         for j in range(i):
-            if (prints[i] ^ prints[j]).bit_count() <= 2:
+            if (prints[i] ^ prints[j]).bit_count() <= 2 or (near and near(sets[i], sets[j])):
                 a, b = find(i), find(j)
                 root[max(a, b)] = min(a, b)
     return [find(i) for i in range(len(prints))]
@@ -168,10 +168,36 @@ def test_simhash(docs, none):
     assert got == Counter((i, p, names[g]) for (i, *_), p, g in zip(rows, prints, group, strict=True))
     stay = simhash_dedup.drop_duplicates(docs)
     assert stay.columns == docs.columns
-    assert Counter(r.doc_id for r in stay.collect()) == Counter(names.values())
+    sets = [{" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (WORD.findall((t or "").lower()) for _, t, *_ in rows)]
+    groups = classes(prints, sets, lambda a, b: len(a & b) >= 0.8 * len(a | b))
+    least = {g: min([i for (i, *_), x in zip(rows, groups, strict=True) if x == g and i is not None], default=None) for g in groups}
+    assert Counter(r.doc_id for r in stay.collect()) == Counter(least.values())
     assert simhash_dedup.near_duplicates(none).count() == 0 and simhash_dedup.drop_duplicates(none).count() == 0
 
 
+def test_near_copies_go_and_others_stay(spark):
+    rng = random.Random(12)
+    vocab = ["".join(rng.choices("aeioulnrstdm", k=rng.randint(2, 9))) for _ in range(4000)]
+    common = vocab[:40]
+    say = lambda n: [rng.choice(common) if rng.random() < 0.4 else rng.choice(vocab) for _ in range(n)]
+    rows, copies = [], 0
+    for i in range(200):
+        words = say(rng.randint(60, 400))
+        rows.append((i, " ".join(words), "en", "a"))
+        if i % 2:
+            other = list(words)
+            for at in rng.sample(range(len(words)), max(1, len(words) // 70)):
+                other[at] = rng.choice(vocab)
+            rows.append((1000 + i, " ".join(other), "en", "b"))
+            copies += 1
+    hot = say(300)
+    rows += [(5000 + k, " ".join([*hot[:150], f"edit{k}", *hot[150:]]), "en", "a") for k in range(150)]
+    got = Counter(r.doc_id for r in simhash_dedup.drop_duplicates(frame(spark, rows)).collect())
+    assert max(got.values()) == 1 and set(range(200)) <= set(got)
+    assert sum(1000 <= i < 5000 for i in got) <= 0.1 * copies
+    assert sum(i >= 5000 for i in got) == 1 and 5000 in got
+
+
 def test_links_lose_none(spark):
     rng = random.Random(5)
     prints = [rng.getrandbits(64) for _ in range(40)]
