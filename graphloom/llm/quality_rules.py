@@ -84,7 +84,7 @@ def _measures():
         columns = zip(*rows, strict=True) if rows else [[]] * len(BASE + MORE)
         return pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in columns], fields=list(_FEATURES))
 
-    return measures
+    return measures.asNondeterministic()  # else a filter on the counts is moved below them and counts everything again
 
 
 def features(docs: DataFrame, into: str, text: str = "text") -> DataFrame:
