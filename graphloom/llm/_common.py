@@ -57,6 +57,11 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def own(df: DataFrame) -> list[Column]:
+    """All columns of df by their very names."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
 def n_words(text: Column) -> Column:
     """Number of words, 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -10,7 +10,8 @@ first, so no task numbers a whole shard.
 
 Edge cases. Null text: size 16, one group, like the empty text by itself. Null ids: allowed. Repeated rows: each gets a
 place of its own. Ties: equal hashes are placed by id. Fewer documents than shards: some shards stay empty. An empty
-table: an empty result. ``shard_documents`` keeps all columns and adds two, whose names are parameters.
+table: an empty result. ``shard_documents`` keeps all columns and adds two, whose names are parameters; a name that is
+taken gets an underscore.
 """
 
 from __future__ import annotations
@@ -143,9 +144,9 @@ def assign(docs: DataFrame, shards: int = SHARDS, tolerance: float = TOLERANCE,
 
 
 def shard_documents(docs: DataFrame, shards: int = SHARDS, tolerance: float = TOLERANCE, id_col: str = "doc_id", text: str = "text", shard: str = "shard", slot: str = "slot") -> DataFrame:
-    """docs with their shard and slot; whole rows pass one exchange, into their places."""
+    """docs with their shard and slot; whole rows pass one exchange, into their places. A name that docs has gets an underscore."""
     t, i = F.col(text), F.col(id_col)
-    k, k2 = fresh(docs, "gl_k", "gl_k2")
+    shard, slot, k, k2 = fresh(docs, shard, slot, "gl_k", "gl_k2")
     slim = settle(docs.select(size(t).alias("size"), text_key(t).alias("k"), id_key(i).alias("k2")))
     named = slim.withColumnRenamed("k", k).withColumnRenamed("k2", k2)
     out = place(docs.withColumn(k, text_key(t)).withColumn(k2, id_key(i)), splitters(slim, shards, tolerance), named, k, k2, [F.col(id_col)], shard, slot)

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from graphloom.llm._common import fresh, n_words, settle, small_side
+from graphloom.llm._common import fresh, n_words, own, settle, small_side
 
 WEIGHTS = (3.0, 1.0, 2.0)
 #: Share of all words that the mix has; most times a document is taken.
@@ -99,7 +99,7 @@ def mix_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text", s
     joined = docs.withColumn(h, key(F.col(id_col), F.col(text))).join(l, F.col(source).eqNullSafe(F.col(s)))
     copies = F.col(whole) + (F.col(h) < F.col(bound)).cast("int")
     (again,) = fresh(joined, "gl_again")
-    return joined.withColumn(again, F.explode(F.array_repeat(F.lit(1), copies))).select(*[docs[c] for c in docs.columns])
+    return joined.withColumn(again, F.explode(F.array_repeat(F.lit(1), copies))).select(*own(docs))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

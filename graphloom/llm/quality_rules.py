@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions.shipping import ship
-from graphloom.llm._common import CONTINUATION, fresh, settle, small_side
+from graphloom.llm._common import CONTINUATION, fresh, own, settle, small_side
 
 #: Growth of the sketch's buckets: a value is known within one percent.
 GAMMA = 1.02
@@ -164,7 +164,7 @@ def filter_documents(docs: DataFrame, text: str = "text", lang: str = "lang", so
     f, failed, kept = fresh(docs, "gl_f", "gl_failed", "gl_kept")
     slim = docs.select(F.col(lang).alias("lang"), F.col(source).alias("source"), F.col(text).alias("text"))
     fences = thresholds(settle(sketches(features(slim, "f"), "f")))
-    return _verdicts(features(docs, f, text), f, fences, lang, source, failed, kept).where(F.col(kept)).select(*[docs[c] for c in docs.columns])
+    return _verdicts(features(docs, f, text), f, fences, lang, source, failed, kept).where(F.col(kept)).select(*own(docs))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions.shipping import ship
-from graphloom.llm._common import WORD, fresh, settle, shared_folder, small_side
+from graphloom.llm._common import WORD, fresh, own, settle, shared_folder, small_side
 
 SHINGLE, SEED, BITS = 3, 42, 2
 #: Positional bytes that two fingerprints share at least if they differ in BITS bits.
@@ -246,7 +246,7 @@ def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     nid, words = fresh(docs, "gl_nid", "gl_words")
     place = f"{shared_folder(spark)}/dedup-{uuid.uuid4().hex}"
     has = F.when(F.col(text).rlike(WORD), F.col(text)).otherwise("")
-    smallest = F.min_by(F.struct(*[docs[c] for c in docs.columns]), F.struct(F.col(id_col).isNull(), F.col(id_col))).alias("row")
+    smallest = F.min_by(F.struct(*own(docs)), F.struct(F.col(id_col).isNull(), F.col(id_col))).alias("row")
     docs.groupBy(F.md5(has.cast("binary")).alias(words)).agg(smallest).select("row.*", F.monotonically_increasing_id().alias(nid)).write.parquet(place)
     stored = spark.read.parquet(place)
 
@@ -265,7 +265,7 @@ def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     copies = near_copies(nodes, stored.select(F.col(nid).alias("nid"), F.col(text).alias("text")), similarity)
     roots = components(alike.union(linked).union(copies)).where("node <> root")
     gone = small_side(nodes.join(roots.withColumnRenamed("node", "r"), "r", "left_semi").select(F.col("nid").alias(nid)))
-    return stored.join(gone, nid, "left_anti").select(*docs.columns)
+    return stored.join(gone, nid, "left_anti").select(*own(docs))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

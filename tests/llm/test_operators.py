@@ -12,7 +12,7 @@ import xxhash
 from graphloom.llm import decontaminate, histogram_shards, mix_sources, quality_classifier, quality_rules, quote_linking, secret_scan, simhash_dedup, token_counts, toxicity
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, Kept string, gl_f int, shard string, size int"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, Kept string, gl_f int, shard string, `size.of it` int"
 LONG = " ".join(f"w{i % 977}x{i}" for i in range(30_000))
 
 
@@ -378,6 +378,7 @@ def test_shards(docs, none):
     for s in {r.shard for r in got}:
         assert sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got)))
     assert {r.shard for r in got} <= set(range(6))
+    assert histogram_shards.shard_documents(docs).columns == [*docs.columns, "shard_", "slot"]
     placed = histogram_shards.shard_documents(docs, shards=6, shard="my_shard")
     assert placed.columns == [*docs.columns, "my_shard", "slot"] and placed.count() == len(rows)
     assert Counter((r.my_shard, r.slot) for r in placed.collect()) == Counter((r.shard, r.slot) for r in got)
