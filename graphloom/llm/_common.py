@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,6 +58,11 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def each(values) -> Iterator:
+    """The values of an Arrow array one by one, so that a batch of texts is not held twice."""
+    return (v.as_py() for v in values)
+
+
 def own(df: DataFrame) -> list[Column]:
     """All columns of df by their very names."""
     return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions.shipping import ship
-from graphloom.llm._common import table
+from graphloom.llm._common import each, table
 
 GRAM = 3
 MIN_ITEM = 8
@@ -157,7 +157,7 @@ def _blocks(docs: DataFrame, items: DataFrame, id_col: str, item_text: str, text
         def frequencies(batches, sent=sent):
             counts, rows = np.zeros(len(sent.value.grams), np.int64), 0
             for batch in batches:
-                for t in batch.column(0).to_pylist():
+                for t in each(batch.column(0)):
                     counts[sent.value.seen(t)] += 1
                     rows += 1
             some = np.nonzero(counts)[0]
@@ -179,7 +179,7 @@ def _matcher(sent, least: float):
     @F.arrow_udf("array<struct<item:int,score:double,first:bigint,last:bigint>>")
     def found(texts: pa.Array) -> pa.Array:
         names = ("item", "score", "first", "last")
-        return pa.array([[dict(zip(names, m, strict=True)) for m in sent.value.matches(t, least)] for t in texts.to_pylist()], _FOUND)
+        return pa.array([[dict(zip(names, m, strict=True)) for m in sent.value.matches(t, least)] for t in each(texts)], _FOUND)
 
     return found
 

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions.shipping import ship
-from graphloom.llm._common import CONTINUATION, held_out, table
+from graphloom.llm._common import CONTINUATION, each, held_out, table
 from graphloom.llm._training import labelled_sample
 
 TRAIN_ROWS = 4000
@@ -98,7 +98,7 @@ def score(model: tuple[float, np.ndarray, np.ndarray], index: np.ndarray, value:
 def _vectors():
     @F.arrow_udf("struct<i:array<int>,x:array<float>>")
     def vectors(texts: pa.Array) -> pa.Array:
-        return pa.array([dict(zip("ix", vector(t), strict=True)) for t in texts.to_pylist()], _X)
+        return pa.array([dict(zip("ix", vector(t), strict=True)) for t in each(texts)], _X)
 
     return vectors
 
@@ -116,7 +116,7 @@ def classify(docs: DataFrame, labels: DataFrame, label: str = "quality", thresho
 
     @F.arrow_udf("double")
     def scores(texts: pa.Array) -> pa.Array:
-        return pa.array([score(sent.value, *vector(t)) for t in texts.to_pylist()], pa.float64())
+        return pa.array([score(sent.value, *vector(t)) for t in each(texts)], pa.float64())
 
     scored = docs.select(F.col(id_col).alias("doc_id"), held_out(F.col(id_col)).alias("held_out"), scores(F.col(text).cast("binary")).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions.shipping import ship
-from graphloom.llm._common import CONTINUATION, fresh, own, settle, small_side
+from graphloom.llm._common import CONTINUATION, each, fresh, own, settle, small_side
 
 #: Growth of the sketch's buckets: a value is known within one percent.
 GAMMA = 1.02
@@ -80,7 +80,7 @@ def measure(text: bytes | None) -> tuple[int, ...]:
 def _measures():
     @F.arrow_udf(_SCHEMA)
     def measures(texts: pa.Array) -> pa.Array:
-        rows = [measure(t) for t in texts.to_pylist()]
+        rows = [measure(t) for t in each(texts)]
         columns = zip(*rows, strict=True) if rows else [[]] * len(BASE + MORE)
         return pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in columns], fields=list(_FEATURES))
 

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions.shipping import ship
-from graphloom.llm._common import settle, table
+from graphloom.llm._common import each, settle, table
 
 _QUOTE = re.compile(r"[ \t]*((?:>[ \t]?)+)")
 #: The line that mail programs put before a quote: "On ..., somebody wrote:".
@@ -61,7 +61,7 @@ def parse(text: str | None) -> tuple[str, list[tuple[int, str]]]:
 def _parser():
     @F.arrow_udf("struct<body:string,said:array<struct<level:int,line:string>>>")
     def parsed(texts: pa.Array) -> pa.Array:
-        rows = [parse(t) for t in texts.to_pylist()]
+        rows = [parse(t) for t in each(texts)]
         return pa.array([{"body": b, "said": [{"level": l, "line": x} for l, x in s]} for b, s in rows], _PARSED)
 
     return parsed

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions.shipping import ship
-from graphloom.llm._common import WORD, fresh, own, settle, shared_folder, small_side
+from graphloom.llm._common import WORD, each, fresh, own, settle, shared_folder, small_side
 
 SHINGLE, SEED, BITS = 3, 42, 2
 #: Positional bytes that two fingerprints share at least if they differ in BITS bits.
@@ -79,7 +79,7 @@ def fingerprints(docs: DataFrame, into: str, text: str = "text", shingle: int =
 
     @F.arrow_udf("long")
     def prints(texts: pa.Array) -> pa.Array:
-        return pa.array([fingerprint(t, shingle) for t in texts.to_pylist()], pa.int64())
+        return pa.array([fingerprint(t, shingle) for t in each(texts)], pa.int64())
 
     return docs.withColumn(into, prints(F.col(text).cast("binary")))
 
@@ -226,7 +226,7 @@ def near_copies(nodes: DataFrame, texts: DataFrame, similarity: float = SIMILARI
 
     @F.arrow_udf("array<long>")
     def shingles(found: pa.Array) -> pa.Array:
-        return pa.array([shingle_hashes(t) for t in found.to_pylist()], pa.list_(pa.int64()))
+        return pa.array([shingle_hashes(t) for t in each(found)], pa.list_(pa.int64()))
 
     wanted = small_side(close.select(F.explode(F.array("x_nid", "y_nid")).alias("nid")).distinct())
     held = settle(texts.join(wanted, "nid", "left_semi").select("nid", shingles(F.col("text").cast("binary")).alias("s")))
@@ -252,7 +252,7 @@ def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
 
     @F.arrow_udf("struct<fp:bigint,a:bigint,b:bigint>")
     def both(texts: pa.Array) -> pa.Array:
-        rows = [(fingerprint(t), *wide_fingerprint(t)) for t in texts.to_pylist()]
+        rows = [(fingerprint(t), *wide_fingerprint(t)) for t in each(texts)]
         return pa.StructArray.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(3)], names=["fp", "a", "b"])
 
     slim = settle(stored.select(F.col(nid).alias("nid"), F.col(id_col).alias("id"), both(F.col(text).cast("binary")).alias("p")).select("nid", "id", "p.*"))

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions.shipping import ship
-from graphloom.llm._common import table
+from graphloom.llm._common import each, table
 
 #: Where the vocabulary is by default; nothing of it is kept here.
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
@@ -125,7 +125,7 @@ def count_tokens(docs: DataFrame, vocabulary: str | list = VOCABULARY, id_col: s
         if name not in _held:  # a worker lives on between tasks
             _held.clear()
             _held[name] = Counter(sent.value, byte_fallback)
-        return pa.array([_held[name].of(t) for t in texts.to_pylist()], pa.int64())
+        return pa.array([_held[name].of(t) for t in each(texts)], pa.int64())
 
     return docs.select(F.col(id_col).alias("doc_id"), tokens(F.col(text)).alias("n_tokens"))
 

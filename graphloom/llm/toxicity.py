@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions.shipping import ship
-from graphloom.llm._common import held_out, settle, table
+from graphloom.llm._common import each, held_out, settle, table
 from graphloom.llm._training import labelled_sample
 
 TRAIN_ROWS = 6000
@@ -159,7 +159,7 @@ def learn(sample: DataFrame) -> tuple[list[bytes], list[bytes], frozenset[bytes]
     def entries(batches):
         for batch in batches:
             out: list[tuple[bytes, bool, int, int]] = []
-            for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for text, y in zip(each(batch.column(0)), each(batch.column(1)), strict=True):
                 words = words_of(text)
                 first: dict[tuple[bytes, bool], int] = {}
                 for i, w in enumerate(words):
@@ -189,7 +189,7 @@ def learn(sample: DataFrame) -> tuple[list[bytes], list[bytes], frozenset[bytes]
 
     def close(batches):
         for batch in batches:
-            kept = [t for t in batch.column(0).to_pylist() if lexicon[t] == EDITED]
+            kept = [t for t in each(batch.column(0)) if lexicon[t] == EDITED]
             yield pa.RecordBatch.from_arrays([pa.array(kept, pa.binary())], ["term"])
 
     near = counted.where(~F.col("stem") & (F.col("toxic") < 0.5 * F.col("n"))).select("term").mapInArrow(close, "term binary").collect()  # sample words within an edit of a term
@@ -226,7 +226,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int =
     @F.arrow_udf("array<double>")
     def sums(texts: pa.Array) -> pa.Array:
         lexicon = Lexicon(*terms)
-        return pa.array([features(t, lexicon) for t in texts.to_pylist()], pa.list_(pa.float64()))
+        return pa.array([features(t, lexicon) for t in each(texts)], pa.list_(pa.float64()))
 
     got = sample.select("doc_id", "y", sums(F.col("text").cast("binary")).alias("x")).collect()  # five numbers a row of the sample
     return terms, fit([(tuple(r.x), r.y) for r in sorted(got, key=lambda r: r.doc_id)])
@@ -246,7 +246,7 @@ def classify(docs: DataFrame, labels: DataFrame, label: str = "toxic", threshold
         if name not in _held:  # a worker lives on between tasks
             _held.clear()
             _held[name] = Lexicon(*sent.value)
-        x = np.array([features(t, _held[name]) for t in texts.to_pylist()]).reshape(-1, 5)
+        x = np.array([features(t, _held[name]) for t in each(texts)]).reshape(-1, 5)
         return pa.array(1 / (1 + np.exp(-np.clip(bias + x @ weights, -500, 500))), pa.float64())
 
     scored = docs.select(F.col(id_col).alias("doc_id"), held_out(F.col(id_col)).alias("held_out"), scores(F.col(text).cast("binary")).alias("score"))
