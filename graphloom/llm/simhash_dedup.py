@@ -16,8 +16,10 @@ Components come from alternating large-star and small-star steps over the links,
 5-word shingles. Such a pair differs in about one bit of 18 if the fingerprint is taken over its distinct words, so the
 same index is kept for a 16-byte fingerprint: TABLES fixed choices of four positional bytes are its keys, four shared
 bytes the least count, and candidates are verified by their very shingles. Four bytes are not guaranteed at 0.8, only
-likely (see the README for the measured share). No list is gathered: a key's least and greatest member are its
-centres, found by partial aggregation, and every member is verified against these.
+likely (see the README for the measured share). No list is gathered: some members of a key, found by partial
+aggregation, are its centres, and every member's bits are compared with theirs. Members that no centre is close to, as
+strangers under one key are, go on to the next round with centres of their own, until none is left; so strangers hide
+no link, however many a larger corpus puts under a key.
 
 Edge cases. Null text, empty text, text without words: fingerprint zero, linked like any other. One or two words: one
 shingle. Null ids: such documents get a component like others; a component of null ids only has a null id. Repeated
@@ -29,7 +31,7 @@ from __future__ import annotations
 
 import random
 import uuid
-from itertools import combinations, repeat
+from itertools import combinations, count, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -49,6 +51,8 @@ PIECE = 1 << 16
 TABLES, WIDE_SHARED = 64, 4
 #: Bits of 128 in which candidates may differ; pairs at the least similarity differ in 8, in 14 at most but for one of 100.
 WIDE_BITS = 20
+#: A list has up to 2, 4, 8 centres in its rounds, and never more than 2 to the power of this.
+CENTRES = 6
 #: What near copies share of their shingles of NEAR_SHINGLE words.
 SIMILARITY, NEAR_SHINGLE = 0.8, 5
 #: Up to so many members a list is compared in pairs; beyond, by lookup.
@@ -211,18 +215,40 @@ def _wide_keys(a, b):
     return F.array(*out)
 
 
+def candidates(nodes: DataFrame) -> DataFrame:
+    """(x, y): pairs of members and centres of one key that differ in WIDE_BITS bits at most, x the greater.
+
+    Rounds double a list's centres, so that lists of many strangers empty soon; each centre is close to itself and
+    leaves, so the rounds end.
+    """
+    left = nodes.select("r", "a", "b", F.explode(_wide_keys(F.col("a"), F.col("b"))).alias("k"))
+    known = nodes.select(F.col("r").alias("c"), F.col("a").alias("c_a"), F.col("b").alias("c_b"))
+    out = None
+    for turn in count():
+        part = F.pmod(F.xxhash64("r"), F.lit(1 << min(turn, CENTRES - 1)))
+        ends = left.groupBy("k", part.alias("part")).agg(F.min("r").alias("lo"), F.max("r").alias("hi"))
+        if not turn:  # most keys have one member
+            ends = ends.where("lo < hi")
+        centres = ends.select("k", F.explode(F.array_distinct(F.array("lo", "hi"))).alias("c")).join(known, "c")
+        # settled, the lists are a plain side of the join, so Spark can split a hot key's partition on the other
+        lists = settle(centres.groupBy("k").agg(F.collect_list(F.struct("c", "c_a", "c_b")).alias("cs")))
+        apart = lambda c: F.bit_count(F.col("a").bitwiseXOR(c["c_a"])) + F.bit_count(F.col("b").bitwiseXOR(c["c_b"]))
+        judged = left.join(lists, "k").select("k", "r", "a", "b", F.transform(F.filter("cs", lambda c: apart(c) <= WIDE_BITS), lambda c: c["c"]).alias("close"))
+        judged = settle(judged.where((F.size("close") == 0) | F.exists("close", lambda c: c != F.col("r"))))
+        pairs = judged.select("r", F.explode("close").alias("c")).where("r <> c").select(F.greatest("r", "c").alias("x"), F.least("r", "c").alias("y"))
+        out = pairs if out is None else out.unionByName(pairs)
+        left = judged.where(F.size("close") == 0).select("r", "a", "b", "k")
+        if not left.limit(1).count():
+            return out.distinct()
+
+
 def near_copies(nodes: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(a, b): verified pairs of nodes that share ``similarity`` of their shingles.
 
     nodes: (r, nid, a, b), settled; texts: (nid, text), one row per node.
     """
-    index = nodes.select("r", F.explode(_wide_keys(F.col("a"), F.col("b"))).alias("k"))
-    centres = index.groupBy("k").agg(F.min("r").alias("lo"), F.max("r").alias("hi")).where("lo < hi")
-    pairs = index.join(centres, "k").select("r", F.explode(F.array("lo", "hi")).alias("c")).where("r <> c")
-    pairs = pairs.select(F.greatest("r", "c").alias("x"), F.least("r", "c").alias("y")).distinct()
-    side = lambda n: nodes.select(F.col("r").alias(n), F.col("nid").alias(f"{n}_nid"), F.col("a").alias(f"{n}_a"), F.col("b").alias(f"{n}_b"))
-    apart = F.bit_count(F.col("x_a").bitwiseXOR(F.col("y_a"))) + F.bit_count(F.col("x_b").bitwiseXOR(F.col("y_b")))
-    close = settle(pairs.join(side("x"), "x").join(side("y"), "y").where(apart <= WIDE_BITS).select("x", "y", "x_nid", "y_nid"))
+    numbered = lambda n: nodes.select(F.col("r").alias(n), F.col("nid").alias(f"{n}_nid"))
+    close = settle(candidates(nodes).join(numbered("x"), "x").join(numbered("y"), "y"))
 
     @F.arrow_udf("array<long>")
     def shingles(found: pa.Array) -> pa.Array:

@@ -198,6 +198,23 @@ def test_near_copies_go_and_others_stay(spark):
     assert sum(i >= 5000 for i in got) == 1 and 5000 in got
 
 
+def test_strangers_under_a_key_hide_no_candidate(spark):
+    rng = random.Random(8)
+    signed = lambda v: v - (1 << 64) if v >> 63 else v
+    far, seen = [], []
+    while len(far) < 150:  # one half in common, the other far from all before: strangers in one list
+        v = rng.getrandbits(64)
+        if all((v ^ o).bit_count() > simhash_dedup.WIDE_BITS for o in far):
+            far.append(v)
+    for i, v in enumerate(far):
+        seen += [v, v ^ (1 << rng.randrange(64))] if i % 3 == 0 else [v]
+    rng.shuffle(seen)
+    nodes = spark.createDataFrame([(r, r, 0, signed(v)) for r, v in enumerate(seen)], "r long, nid long, a long, b long")
+    got = {(p.x, p.y) for p in simhash_dedup.candidates(nodes).collect()}
+    assert got == {(x, y) for x in range(len(seen)) for y in range(x) if (seen[x] ^ seen[y]).bit_count() <= simhash_dedup.WIDE_BITS}
+    assert len(got) >= 50 and simhash_dedup.candidates(nodes.limit(0)).count() == 0
+
+
 def test_links_lose_none(spark):
     rng = random.Random(5)
     prints = [rng.getrandbits(64) for _ in range(40)]
