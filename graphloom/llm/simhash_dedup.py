@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions.shipping import ship
-from graphloom.llm._common import WORD, each, fresh, own, settle, shared_folder, small_side
+from graphloom.llm._common import BROADCAST_ROWS, WORD, each, fresh, own, settle, shared_folder, small_side
 
 SHINGLE, SEED, BITS = 3, 42, 2
 #: Positional bytes that two fingerprints share at least if they differ in BITS bits.
@@ -48,7 +48,7 @@ SHARED = 8 - BITS
 #: Shingles hashed at once, so that memory does not follow a text's length.
 PIECE = 1 << 16
 #: The wide fingerprint's keys: so many fixed choices of WIDE_SHARED of its 16 positional bytes.
-TABLES, WIDE_SHARED = 64, 4
+TABLES, WIDE_SHARED = 96, 4
 #: Bits of 128 in which candidates may differ; pairs at the least similarity differ in 8, in 14 at most but for one of 100.
 WIDE_BITS = 20
 #: A list has up to 2, 4, 8 centres in its rounds, and never more than 2 to the power of this.
@@ -221,23 +221,24 @@ def candidates(nodes: DataFrame) -> DataFrame:
     Rounds double a list's centres, so that lists of many strangers empty soon; each centre is close to itself and
     leaves, so the rounds end.
     """
-    left = nodes.select("r", "a", "b", F.explode(_wide_keys(F.col("a"), F.col("b"))).alias("k"))
+    left = nodes.select("r", F.explode(_wide_keys(F.col("a"), F.col("b"))).alias("k"))
     known = nodes.select(F.col("r").alias("c"), F.col("a").alias("c_a"), F.col("b").alias("c_b"))
+    apart = lambda c: F.bit_count(F.col("a").bitwiseXOR(c["c_a"])) + F.bit_count(F.col("b").bitwiseXOR(c["c_b"]))
     out = None
     for turn in count():
-        part = F.pmod(F.xxhash64("r"), F.lit(1 << min(turn, CENTRES - 1)))
-        ends = left.groupBy("k", part.alias("part")).agg(F.min("r").alias("lo"), F.max("r").alias("hi"))
+        parts = 1 << min(turn, CENTRES - 1)
+        ends = left.groupBy("k", F.pmod(F.xxhash64("r"), F.lit(parts)).alias("part")).agg(F.min("r").alias("lo"), F.max("r").alias("hi"))
         if not turn:  # most keys have one member
             ends = ends.where("lo < hi")
         centres = ends.select("k", F.explode(F.array_distinct(F.array("lo", "hi"))).alias("c")).join(known, "c")
         # settled, the lists are a plain side of the join, so Spark can split a hot key's partition on the other
-        lists = settle(centres.groupBy("k").agg(F.collect_list(F.struct("c", "c_a", "c_b")).alias("cs")))
-        apart = lambda c: F.bit_count(F.col("a").bitwiseXOR(c["c_a"])) + F.bit_count(F.col("b").bitwiseXOR(c["c_b"]))
-        judged = left.join(lists, "k").select("k", "r", "a", "b", F.transform(F.filter("cs", lambda c: apart(c) <= WIDE_BITS), lambda c: c["c"]).alias("close"))
-        judged = settle(judged.where((F.size("close") == 0) | F.exists("close", lambda c: c != F.col("r"))))
-        pairs = judged.select("r", F.explode("close").alias("c")).where("r <> c").select(F.greatest("r", "c").alias("x"), F.least("r", "c").alias("y"))
+        lists = small_side(centres.groupBy("k").agg(F.collect_list(F.struct("c", "c_a", "c_b")).alias("cs")), BROADCAST_ROWS // parts)
+        near = F.transform(F.filter("cs", lambda c: apart(c) <= WIDE_BITS), lambda c: c["c"]).alias("near")
+        judged = left.join(lists, "k").join(nodes.select("r", "a", "b"), "r").select("k", "r", near)
+        judged = settle(judged.where((F.size("near") == 0) | F.exists("near", lambda c: c != F.col("r"))))
+        pairs = judged.select("r", F.explode("near").alias("c")).where("r <> c").select(F.greatest("r", "c").alias("x"), F.least("r", "c").alias("y"))
         out = pairs if out is None else out.unionByName(pairs)
-        left = judged.where(F.size("close") == 0).select("r", "a", "b", "k")
+        left = judged.where(F.size("near") == 0).select("r", "k")
         if not left.limit(1).count():
             return out.distinct()
 
