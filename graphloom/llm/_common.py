@@ -73,6 +73,11 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def key60(said: Column) -> Column:
+    """60 bits of a string's MD5 as a long, which any SQL can repeat."""
+    return F.conv(F.substring(F.md5(said.cast("binary")), 1, 15), 16, 10).cast("long")
+
+
 def held_out(doc_id: Column) -> Column:
     """True for rows whose labels are never learned from: crc32 of the id's text, remainder 1 by 3. Null ids count as text ''."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 3 == 1

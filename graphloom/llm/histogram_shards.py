@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from graphloom.llm._common import fresh, settle
+from graphloom.llm._common import fresh, key60, settle
 
 SHARDS = 40
 #: Bytes that each document takes besides its text.
@@ -41,11 +41,11 @@ def size(text: Column) -> Column:
 
 def text_key(text: Column) -> Column:
     """60 bits; null has its own."""
-    return F.shiftrightunsigned(F.xxhash64(text.isNull(), text), 4)
+    return key60(F.coalesce(F.concat(F.lit("="), text), F.lit("~")))
 
 
 def id_key(doc_id: Column) -> Column:
-    return F.shiftrightunsigned(F.xxhash64(doc_id), 4)
+    return key60(F.coalesce(doc_id.cast("string"), F.lit("~")))
 
 
 def _cuts(keyed: DataFrame, goals: list[float], slack: float, least: float) -> list[tuple[int, int, int]]:

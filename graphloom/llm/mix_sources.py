@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from graphloom.llm._common import fresh, n_words, own, settle, small_side
+from graphloom.llm._common import fresh, key60, n_words, own, settle, small_side
 
 WEIGHTS = (3.0, 1.0, 2.0)
 #: Share of all words that the mix has; most times a document is taken.
@@ -28,8 +28,7 @@ DIGIT, LEVELS = 12, 5
 
 def key(doc_id: Column, text: Column) -> Column:
     """A 60-bit hash of a document's id and text."""
-    said = F.concat(F.coalesce(doc_id.cast("string"), F.lit("~")), F.lit("|"), F.coalesce(text, F.lit("~")))
-    return F.conv(F.substring(F.md5(said.cast("binary")), 1, 15), 16, 10).cast("long")
+    return key60(F.concat(F.coalesce(doc_id.cast("string"), F.lit("~")), F.lit("|"), F.coalesce(text, F.lit("~"))))
 
 
 def targets(sizes: DataFrame, weights: tuple = WEIGHTS, total: float = TOTAL, cap: float = CAP) -> DataFrame:

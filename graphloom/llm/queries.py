@@ -141,6 +141,62 @@ def _outside_brackets(pattern: str):
             inside = False
 
 
+def _shards() -> str:
+    """The refined histograms as one chain of WITH parts by level, once over texts and once inside texts larger than a shard."""
+    from graphloom.llm.histogram_shards import DIGIT, FRAME, LEVELS, SHARDS, SUB_ID, SUB_TEXT, TOLERANCE
+
+    def chain(name: str, least: str) -> str:
+        """name_rows (grp, key, size) and name_goals (grp, i, goal) to name_cuts (grp, key, goal, start, own)."""
+        parts = [f"{name}_open0 AS (SELECT grp, i, goal, 0::BIGINT AS prefix, 0::BIGINT AS lft FROM {name}_goals)"]
+        for level in range(LEVELS):
+            shift = DIGIT * (LEVELS - 1 - level)
+            parts.append(f"""{name}_sums{level} AS (
+  SELECT *, (sum(bytes) OVER (PARTITION BY grp, prefix ORDER BY bucket))::BIGINT AS cum
+  FROM (SELECT grp, key >> {shift + DIGIT} AS prefix, key >> {shift} AS bucket, sum(size)::BIGINT AS bytes, min(key) AS lo, max(key) AS hi FROM {name}_rows GROUP BY ALL)),
+{name}_at{level} AS (
+  SELECT o.grp, o.i, o.goal, o.prefix, o.lft, coalesce(max(o.lft + s.cum), o.lft) AS total,
+         arg_min({{'bucket': s.bucket, 'start': o.lft + s.cum - s.bytes, 'stop': o.lft + s.cum, 'bytes': s.bytes, 'lo': s.lo, 'hi': s.hi}}, s.bucket) FILTER (WHERE o.lft + s.cum >= o.goal) AS b
+  FROM {name}_open{level} o LEFT JOIN {name}_sums{level} s ON o.grp = s.grp AND o.prefix = s.prefix GROUP BY o.grp, o.i, o.goal, o.prefix, o.lft),
+{name}_cut{level} AS (
+  SELECT grp, i, goal, b, CASE
+    WHEN b IS NULL THEN {{'key': (prefix + 1) << {shift + DIGIT}, 'start': total, 'own': 0::BIGINT}}
+    WHEN b.stop - goal <= slack THEN {{'key': (b.bucket + 1) << {shift}, 'start': b.stop, 'own': 0::BIGINT}}
+    WHEN goal - b.start <= slack THEN {{'key': b.bucket << {shift}, 'start': b.start, 'own': 0::BIGINT}}
+    WHEN b.lo = b.hi AND b.bytes > {least} THEN {{'key': b.lo, 'start': b.start, 'own': b.bytes}}
+    WHEN b.lo = b.hi AND b.stop - goal <= goal - b.start THEN {{'key': b.lo + 1, 'start': b.stop, 'own': 0::BIGINT}}
+    WHEN b.lo = b.hi THEN {{'key': b.lo, 'start': b.start, 'own': 0::BIGINT}} END AS cut
+  FROM {name}_at{level}, whole)""")
+            if level < LEVELS - 1:
+                parts.append(f"{name}_open{level + 1} AS (SELECT grp, i, goal, b.bucket AS prefix, b.start AS lft FROM {name}_cut{level} WHERE cut IS NULL)")
+        found = " UNION ALL ".join(f"SELECT grp, goal, cut.key AS key, cut.start AS start, cut.own AS own FROM {name}_cut{level} WHERE cut IS NOT NULL" for level in range(LEVELS))
+        return ",\n".join([*parts, f"{name}_cuts AS ({found})"])
+
+    hashed = lambda said: f"('0x' || substr(md5({said}), 1, 15))::BIGINT"
+    return f"""
+WITH d AS (
+  SELECT doc_id, text, coalesce(octet_length(encode(text)), 0)::BIGINT + {FRAME} AS size,
+         {hashed("coalesce('=' || text, '~')")} AS k, {hashed("coalesce(doc_id::VARCHAR, '~')")} AS k2 FROM documents),
+whole AS (SELECT share, {TOLERANCE}::DOUBLE * share AS slack FROM (SELECT coalesce(sum(size), 0)::DOUBLE / {SHARDS} AS share FROM d)),
+texts_rows AS (SELECT 0::BIGINT AS grp, k AS key, size FROM d),
+texts_goals AS (SELECT 0::BIGINT AS grp, i, share * i AS goal FROM whole, range(1, {SHARDS}) r(i)),
+{chain("texts", "share")},
+ids_goals AS (SELECT key AS grp, row_number() OVER () AS i, goal - start AS goal FROM texts_cuts WHERE own > 0),
+ids_rows AS (SELECT k AS grp, k2 AS key, size FROM d WHERE k IN (SELECT grp FROM ids_goals)),
+{chain("ids", "'inf'::DOUBLE")},
+cuts AS (SELECT list({{'a': a, 'b': b}}) AS cs FROM (SELECT key AS a, 0::BIGINT AS b FROM texts_cuts WHERE own = 0 UNION ALL SELECT grp, key FROM ids_cuts)),
+-- CRC-32 by the bytes of a text, with the table of its reflected polynomial
+steps AS (SELECT list(v ORDER BY i) AS tab FROM (
+  SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, n: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM range(256) r(i))),
+hexed AS (SELECT DISTINCT k, hex(encode(coalesce(text, ''))) AS hx FROM d),
+crcs AS (SELECT k, xor(list_reduce(list_prepend(4294967295, list_transform(range(length(hx) // 2), lambda p: ('0x' || substr(hx, 2 * p::INT + 1, 2))::BIGINT)),
+                                   lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295) AS crc FROM hexed, steps),
+placed AS (SELECT d.*, len(list_filter(cs, lambda c: c.a < k OR (c.a = k AND c.b <= k2)))::INTEGER AS shard FROM d, cuts)
+SELECT doc_id, size, crc AS text_crc32, 'bytes' AS law, shard,
+       row_number() OVER (PARTITION BY shard ORDER BY k >> {60 - SUB_TEXT}, k2 >> {60 - SUB_ID}, k, k2, doc_id NULLS FIRST, size) - 1 AS slot, NULL::INTEGER AS grown_shard
+FROM placed JOIN crcs USING (k)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     """Registered names: the other queries have no SQL form and are held against brute force in the tests."""
-    return {"op1_quality_rules": _rules(), "op2_secret_scan": _secrets(), "op3_mix_sources": _MIX}
+    return {"op1_quality_rules": _rules(), "op2_secret_scan": _secrets(), "op3_mix_sources": _MIX, "op8_histogram_shards": _shards()}

@@ -6,10 +6,12 @@ import re
 import zlib
 from collections import Counter
 
+import duckdb
 import pytest
 import xxhash
 
 from graphloom.llm import decontaminate, histogram_shards, mix_sources, quality_classifier, quality_rules, quote_linking, secret_scan, simhash_dedup, token_counts, toxicity
+from graphloom.llm import queries as llm_queries
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, Kept string, gl_f int, shard string, `size.of it` int"
@@ -402,6 +404,20 @@ def test_shards(docs, none):
     assert histogram_shards.assign(none).count() == 0
 
 
+@pytest.mark.parametrize("hot", [0, 90, 900])  # 900: a text larger than many shards, cut by ids
+def test_shards_as_sql_says(spark, none, tmp_path, hot):
+    # without the longest text, over which the CRC in SQL takes a minute
+    rows = [*(r for r in awkward() if r[1] != LONG), *((1000 + i, f"text {i} " * (i % 7), "en", "a") for i in range(300)), *((5000 + i, "hot text " * 60, "en", "a") for i in range(hot))]
+    for name, table in (("some", frame(spark, rows).repartition(4)), ("none", none)):
+        table.write.parquet(str(tmp_path / name / "documents.parquet"))
+        con = duckdb.connect()
+        con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/{name}/documents.parquet/*.parquet')")
+        told = con.sql(llm_queries.oracle_sql()["op8_histogram_shards"])
+        got = histogram_shards.query(spark, str(tmp_path / name))
+        assert told.columns == got.columns
+        assert Counter(map(tuple, got.collect())) == Counter(told.fetchall())
+
+
 def test_shards_are_even_and_keep_copies_together(spark):
     rng = random.Random(7)
     rows = [(i, "x" * rng.randint(50, 150) + str(i), "en", "a") for i in range(3000)] + [(5000 + i, "copied " * 9, "en", "a") for i in range(40)]
