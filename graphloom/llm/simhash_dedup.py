@@ -12,14 +12,14 @@ links, fewer than it has members.
 Copies share a fingerprint, and each distinct fingerprint enters the index once, whatever its number of documents.
 Components come from alternating large-star and small-star steps over the links, settled after each round.
 
-``drop_duplicates`` also finds copies whose edits move more bits than that: pairs that share ``similarity`` = 0.8 of their
-5-word shingles. Such a pair differs in about one bit of 18 if the fingerprint is taken over its distinct words, so the
-same index is kept for a 16-byte fingerprint: TABLES fixed choices of four positional bytes are its keys, four shared
-bytes the least count, and candidates are verified by their very shingles. Four bytes are not guaranteed at 0.8, only
-likely (see the README for the measured share). No list is gathered: some members of a key, found by partial
-aggregation, are its centres, and every member's bits are compared with theirs. Members that no centre is close to, as
-strangers under one key are, go on to the next round with centres of their own, until none is left; so strangers hide
-no link, however many a larger corpus puts under a key.
+``drop_duplicates`` also finds copies whose edits move more bits than that: all pairs that share ``similarity`` = 0.8 of
+their 5-word shingles, by an exact prefix-filtered join. In one order of all shingles, a set of n has a partner only if
+they share one of its first n - ceil(0.8 n) + 1: these are its keys. The order puts shingles that a sample finds frequent
+last, which shortens the lists and changes no result. Equal sets are linked first and enter as one. Pairs under a key are
+dropped only by bounds that no pair at the least similarity can break (places of the first common key, sizes, differing
+bits of a parity bitmap) or if links join them already, and the rest are verified by their very shingles. So that groups
+of any make are linked cheaply, members are first compared with one, then with several centres of their key; the last
+round compares all pairs that are still apart, so no centre hides a link. No list is gathered.
 
 Edge cases. Null text, empty text, text without words: fingerprint zero, linked like any other. One or two words: one
 shingle. Null ids: such documents get a component like others; a component of null ids only has a null id. Repeated
@@ -29,6 +29,7 @@ hashed in pieces. Only the named columns are read; ``drop_duplicates`` keeps eve
 
 from __future__ import annotations
 
+import math
 import random
 import uuid
 from itertools import combinations, count, repeat
@@ -36,7 +37,7 @@ from itertools import combinations, count, repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions.shipping import ship
@@ -47,14 +48,20 @@ SHINGLE, SEED, BITS = 3, 42, 2
 SHARED = 8 - BITS
 #: Shingles hashed at once, so that memory does not follow a text's length.
 PIECE = 1 << 16
-#: The wide fingerprint's keys: so many fixed choices of WIDE_SHARED of its 16 positional bytes.
+#: Keys of ``candidates``: so many fixed choices of WIDE_SHARED of 16 positional bytes.
 TABLES, WIDE_SHARED = 96, 4
-#: Bits of 128 in which candidates may differ; pairs at the least similarity differ in 8, in 14 at most but for one of 100.
+#: Bits of 128 in which pairs of ``candidates`` may differ.
 WIDE_BITS = 20
 #: A list has up to 2, 4, 8 centres in its rounds, and never more than 2 to the power of this.
 CENTRES = 6
 #: What near copies share of their shingles of NEAR_SHINGLE words.
 SIMILARITY, NEAR_SHINGLE = 0.8, 5
+#: Bits of a shingle set's parity bitmap, kept in longs.
+BITMAP = 1024
+#: Centres of a key by round; the last round compares all pairs that are still apart.
+ROUNDS = (1, 8, None)
+#: A shingle is called frequent if SAMPLE_LEAST of about SAMPLE texts hold it; so many of them at most.
+SAMPLE, SAMPLE_LEAST, FREQUENT = 20_000, 8, 50_000
 #: Up to so many members a list is compared in pairs; beyond, by lookup.
 PAIRS = 48
 
@@ -185,23 +192,29 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     return printed.join(named.join(ids, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
-def wide_fingerprint(text: bytes | None) -> tuple[int, int]:
-    """A 128-bit SimHash over the distinct words, weighed by their lengths, as two signed numbers."""
-    words = list(set((text or b"").lower().split()))
-    votes = np.zeros(128)
-    for i in range(0, len(words), PIECE):
-        part = words[i : i + PIECE]
-        bits = np.unpackbits(np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, part)), np.uint8).reshape(-1, 16), axis=1)
-        votes += np.fromiter(map(len, part), np.float64, len(part)) @ (bits * 2.0 - 1.0)
-    a, b = np.packbits(votes > 0).view(">i8").tolist()
-    return a, b
-
-
-def shingle_hashes(text: bytes | None, shingle: int = NEAR_SHINGLE) -> list[int]:
+def shingle_hashes(text: bytes | None, shingle: int = NEAR_SHINGLE) -> np.ndarray:
     """The set of a text's word shingles, hashed and sorted; of fewer words the whole sequence."""
     words = (text or b"").lower().split()
-    found = {xxhash.xxh64_intdigest(b" ".join(words[i : i + shingle])) for i in range(max(1, len(words) - shingle + 1))}
-    return np.sort(np.fromiter(found, np.uint64, len(found)).view(np.int64)).tolist()
+    if len(words) <= shingle:
+        return np.array([xxhash.xxh64_intdigest(b" ".join(words))], np.uint64).view(np.int64)
+    joined = b" ".join(words)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+    starts = np.concatenate(([0], ends[:-1]))[: len(words) - shingle + 1].tolist()
+    ends, one = (ends[shingle - 1 :] - 1).tolist(), xxhash.xxh64_intdigest
+    hashes = np.fromiter((one(joined[s:e]) for s, e in zip(starts, ends, strict=True)), np.uint64, len(starts))
+    return np.unique(hashes.view(np.int64))
+
+
+def prefix(hashes: np.ndarray, frequent: np.ndarray, similarity: float = SIMILARITY) -> np.ndarray:
+    """The keys of a set: its first shingles, frequent ones last, of which a pair at ``similarity`` shares one."""
+    late = np.isin(hashes, frequent)
+    return np.concatenate((hashes[~late], hashes[late]))[: len(hashes) - math.ceil(similarity * len(hashes) - 1e-9) + 1]
+
+
+def bitmap(hashes: np.ndarray) -> list[int]:
+    """Parities of the set's hashes by remainder: two bitmaps differ in no more bits than their sets in members."""
+    odd = np.bincount(hashes & (BITMAP - 1), minlength=BITMAP) & 1
+    return np.packbits(odd.astype(np.uint8)).view(">i8").tolist()
 
 
 def _wide_keys(a, b):
@@ -218,6 +231,7 @@ def _wide_keys(a, b):
 def candidates(nodes: DataFrame) -> DataFrame:
     """(x, y): pairs of members and centres of one key that differ in WIDE_BITS bits at most, x the greater.
 
+    ``drop_duplicates`` does not use it, as it is not complete: a member that is close to a centre is not compared further.
     Rounds double a list's centres, so that lists of many strangers empty soon; each centre is close to itself and
     leaves, so the rounds end.
     """
@@ -243,13 +257,48 @@ def candidates(nodes: DataFrame) -> DataFrame:
             return out.distinct()
 
 
-def near_copies(nodes: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(a, b): verified pairs of nodes that share ``similarity`` of their shingles.
+def frequent_shingles(texts: DataFrame) -> np.ndarray:
+    """Hashes of shingles that many texts of a sample hold, sorted. texts: (nid, text)."""
+    n = texts.count()
 
-    nodes: (r, nid, a, b), settled; texts: (nid, text), one row per node.
+    @F.arrow_udf("array<long>")
+    def shingles(found: pa.Array) -> pa.Array:
+        return pa.array([shingle_hashes(t) for t in each(found)], pa.list_(pa.int64()))
+
+    some = texts.where(F.pmod(F.xxhash64("nid"), F.lit(-(-n // SAMPLE) or 1)) == 0)
+    counted = some.select(F.explode(shingles(F.col("text").cast("binary"))).alias("h")).groupBy("h").count().where(F.col("count") >= SAMPLE_LEAST)
+    return np.sort(np.array([r.h for r in counted.orderBy(F.desc("count"), "h").limit(FREQUENT).collect()], np.int64))
+
+
+def near_pairs(shared: DataFrame, groups: DataFrame, centres: int | None, similarity: float) -> DataFrame:
+    """(x, y): pairs of a key, not of one group yet, that no bound keeps from ``similarity``.
+
+    shared: (k, r, i, n, b0, b1, ...): keys of several sets, the key's place in the set, its size and bitmap; groups:
+    (node, root). With centres, members are compared with so many of their key, else with each other.
     """
+    known = shared.join(groups.withColumnRenamed("node", "r"), "r", "left").withColumn("g", F.coalesce("root", "r")).drop("root")
+    of_key = Window.partitionBy("k")
+    known = settle(known.withColumn("g0", F.min("g").over(of_key)).withColumn("g1", F.max("g").over(of_key)).where("g0 < g1").drop("g0", "g1"))
+    other = known
+    if centres:
+        part = F.pmod(F.xxhash64("r"), F.lit(centres))
+        other = known.withColumn("turn", F.row_number().over(Window.partitionBy("k", part).orderBy("r"))).where("turn = 1").drop("turn")
+    longs = [c for c in shared.columns if c.startswith("b")]
+    x, y = known.select("k", *[F.col(c).alias(f"x_{c}") for c in ("r", "g", "i", "n", *longs)]), other.select("k", *[F.col(c).alias(f"y_{c}") for c in ("r", "g", "i", "n", *longs)])
+    both = F.col("x_n") + F.col("y_n")
+    apart = sum((F.bit_count(F.col(f"x_{c}").bitwiseXOR(F.col(f"y_{c}"))) for c in longs), F.lit(0))
+    least, most = similarity / (1 + similarity) * both - 1e-6, (1 - similarity) / (1 + similarity) * both + 1e-6
+    # under their first common key, all before it are in one set only and all that they share begins there
+    first = (F.col("x_i") + F.col("y_i") <= most) & (F.least(F.col("x_n") - F.col("x_i"), F.col("y_n") - F.col("y_i")) >= least)
+    own_order = F.col("x_r") != F.col("y_r") if centres else F.col("x_r") > F.col("y_r")
+    pairs = x.join(y, "k").where(own_order & (F.col("x_g") != F.col("y_g")) & first & (apart <= most))
+    return pairs.select(F.greatest("x_r", "y_r").alias("x"), F.least("x_r", "y_r").alias("y")).distinct()
+
+
+def verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): pairs of nodes that share ``similarity`` of their shingles. nodes: (r, nid); texts: (nid, text)."""
     numbered = lambda n: nodes.select(F.col("r").alias(n), F.col("nid").alias(f"{n}_nid"))
-    close = settle(candidates(nodes).join(numbered("x"), "x").join(numbered("y"), "y"))
+    close = settle(pairs.join(numbered("x"), "x").join(numbered("y"), "y"))
 
     @F.arrow_udf("array<long>")
     def shingles(found: pa.Array) -> pa.Array:
@@ -262,6 +311,32 @@ def near_copies(nodes: DataFrame, texts: DataFrame, similarity: float = SIMILARI
     return both.where(shared >= similarity * (F.size("x_s") + F.size("y_s") - shared)).select(F.col("x").alias("a"), F.col("y").alias("b"))
 
 
+def near_groups(nodes: DataFrame, texts: DataFrame, links: DataFrame, place: str, similarity: float = SIMILARITY) -> DataFrame:
+    """(node, root): components of links (a, b) and of all pairs of nodes that share ``similarity`` of their shingles.
+
+    nodes: (r, nid, sig, n, keys, bits), settled; texts: (nid, text), one row per node; place: a folder for the links.
+    """
+
+    def stored(i: int, edges: DataFrame) -> DataFrame:
+        """Written, not settled: a checkpoint hands on its plan's constraints, which multiply from round to round."""
+        edges.write.parquet(f"{place}/{i}")
+        return edges.sparkSession.read.schema("a long, b long").parquet(f"{place}/{i}")
+
+    firsts = settle(nodes.groupBy("sig").agg(F.min("r").alias("lo")))
+    same = nodes.select("r", "sig").join(firsts, "sig").where("r <> lo").select(F.col("r").alias("a"), F.col("lo").alias("b"))
+    edges = stored(0, links.union(same))
+    reps = nodes.join(small_side(firsts.select(F.col("lo").alias("r"))), "r", "left_semi")
+    of_key = Window.partitionBy("k").orderBy("r")
+    held = reps.select("r", "n", F.posexplode("keys").alias("i", "k")).withColumn("before", F.lag("r").over(of_key)).withColumn("after", F.lead("r").over(of_key))
+    held = settle(held.where("before is not null or after is not null").select("k", "r", "i", "n"))
+    bits = nodes.select("r", *[F.col("bits")[j].alias(f"b{j}") for j in range(BITMAP // 64)])
+    shared = settle(held.join(bits, "r"))
+    for turn, centres in enumerate(ROUNDS, 1):
+        pairs = near_pairs(shared, components(edges), centres, similarity)
+        edges = edges.union(stored(turn, verified(pairs, nodes.select("r", "nid"), texts, similarity)))
+    return components(edges)
+
+
 def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """The rows of docs that stay: of each group the one with the smallest id, nulls last, with its columns.
 
@@ -277,20 +352,27 @@ def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     docs.groupBy(F.md5(has.cast("binary")).alias(words)).agg(smallest).select("row.*", F.monotonically_increasing_id().alias(nid)).write.parquet(place)
     stored = spark.read.parquet(place)
 
-    @F.arrow_udf("struct<fp:bigint,a:bigint,b:bigint>")
-    def both(texts: pa.Array) -> pa.Array:
-        rows = [(fingerprint(t), *wide_fingerprint(t)) for t in each(texts)]
-        return pa.StructArray.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(3)], names=["fp", "a", "b"])
+    texts = stored.select(F.col(nid).alias("nid"), F.col(text).alias("text"))
+    frequent = frequent_shingles(texts)
+
+    @F.arrow_udf("struct<fp:bigint,sig:binary,n:int,keys:array<bigint>,bits:array<bigint>>")
+    def told(found: pa.Array) -> pa.Array:
+        rows = []
+        for t in each(found):
+            s = shingle_hashes(t)
+            rows.append((fingerprint(t), xxhash.xxh3_128_digest(s.tobytes()), len(s), prefix(s, frequent, similarity), bitmap(s)))
+        longs = pa.list_(pa.int64())
+        return pa.StructArray.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int64(), pa.binary(), pa.int32(), longs, longs))], names=["fp", "sig", "n", "keys", "bits"])
 
-    slim = settle(stored.select(F.col(nid).alias("nid"), F.col(id_col).alias("id"), both(F.col(text).cast("binary")).alias("p")).select("nid", "id", "p.*"))
+    slim = settle(stored.select(F.col(nid).alias("nid"), F.col(id_col).alias("id"), told(F.col(text).cast("binary")).alias("p")).select("nid", "id", "p.*"))
     # numbered in the order of ids, so that a group's least number has its smallest id
-    nodes = settle(slim.orderBy(F.col("id").asc_nulls_last(), "nid").select("nid", "fp", "a", "b", F.monotonically_increasing_id().alias("r")))
+    order = settle(slim.select("nid", "id").orderBy(F.col("id").asc_nulls_last(), "nid").select("nid", F.monotonically_increasing_id().alias("r")))
+    nodes = settle(slim.drop("id").join(order, "nid"))
     firsts = settle(nodes.groupBy("fp").agg(F.min("r").alias("lo")))
     of = lambda n: firsts.select(F.col("fp").alias(n), F.col("lo").alias(f"{n}_r"))
     linked = links(firsts.select("fp")).join(of("a"), "a").join(of("b"), "b").select(F.col("a_r").alias("a"), F.col("b_r").alias("b"))
     alike = nodes.join(firsts, "fp").where("r <> lo").select(F.col("r").alias("a"), F.col("lo").alias("b"))
-    copies = near_copies(nodes, stored.select(F.col(nid).alias("nid"), F.col(text).alias("text")), similarity)
-    roots = components(alike.union(linked).union(copies)).where("node <> root")
+    roots = near_groups(nodes, texts, alike.union(linked), f"{place}-links", similarity).where("node <> root")
     gone = small_side(nodes.join(roots.withColumnRenamed("node", "r"), "r", "left_semi").select(F.col("nid").alias(nid)))
     return stored.join(gone, nid, "left_anti").select(*own(docs))
 

@@ -200,6 +200,23 @@ def test_near_copies_go_and_others_stay(spark):
     assert sum(i >= 5000 for i in got) == 1 and 5000 in got
 
 
+def stays(spark, texts):
+    """Ids that stay of texts numbered from 0."""
+    return {r.doc_id for r in simhash_dedup.drop_duplicates(frame(spark, [(i, t, "en", "a") for i, t in enumerate(texts)])).collect()}
+
+
+def test_edited_copies_of_a_middle_original_are_one_group(spark):
+    rng = random.Random(21)
+    original = [f"o{i}" for i in range(200)]
+    texts = []
+    for k in range(1000):  # nearer than 0.8 to the original, not to each other
+        words = list(original)
+        for at in rng.sample(range(4, 196), 3):
+            words[at] = f"e{k}x{at}"
+        texts.append(" ".join(words))
+    assert stays(spark, [*texts[:500], " ".join(original), *texts[500:]]) == {0}
+
+
 def test_strangers_under_a_key_hide_no_candidate(spark):
     rng = random.Random(8)
     signed = lambda v: v - (1 << 64) if v >> 63 else v
