@@ -217,6 +217,17 @@ def test_edited_copies_of_a_middle_original_are_one_group(spark):
     assert stays(spark, [*texts[:500], " ".join(original), *texts[500:]]) == {0}
 
 
+def test_copies_that_differ_in_one_long_token_go(spark):
+    rng = random.Random(22)
+    texts, copies = [], []
+    for n, size in [(60, 40)] * 20 + [(100, 64)] * 20 + [(300, 120)] * 20:
+        words = [f"v{rng.randrange(10**6)}" for _ in range(n)]
+        token = lambda: "".join(rng.choices("0123456789abcdef", k=size))  # noqa: B023, E731
+        texts.append(" ".join([*words[: n // 2], token(), *words[n // 2 :]]))
+        copies.append(" ".join([*words[: n // 2], token(), *words[n // 2 :]]))
+    assert stays(spark, texts + copies) == set(range(60))
+
+
 def test_strangers_under_a_key_hide_no_candidate(spark):
     rng = random.Random(8)
     signed = lambda v: v - (1 << 64) if v >> 63 else v
