@@ -228,6 +228,20 @@ def test_copies_that_differ_in_one_long_token_go(spark):
     assert stays(spark, texts + copies) == set(range(60))
 
 
+def test_lengthened_and_shortened_copies_go(spark):
+    rng = random.Random(23)
+    say = lambda n: [f"v{rng.randrange(10**6)}" for _ in range(n)]
+    texts, copies = [], []
+    for n, more in ((200, 20), (200, 30), (200, 45), (60, 12), (20, 3), (14, 1)):
+        for k in range(12):
+            words, added = say(n), say(more)
+            pair = [" ".join(words), " ".join(words + added if k % 2 else added + words)]
+            a, b = pair if k % 4 < 2 else pair[::-1]
+            texts.append(a)
+            copies.append(b)
+    assert stays(spark, texts + copies) == set(range(72))
+
+
 def test_strangers_under_a_key_hide_no_candidate(spark):
     rng = random.Random(8)
     signed = lambda v: v - (1 << 64) if v >> 63 else v
