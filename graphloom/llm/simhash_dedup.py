@@ -207,7 +207,9 @@ def shingle_hashes(text: bytes | None, shingle: int = NEAR_SHINGLE) -> np.ndarra
 
 def prefix(hashes: np.ndarray, frequent: np.ndarray, similarity: float = SIMILARITY) -> np.ndarray:
     """The keys of a set: its first shingles, frequent ones last, of which a pair at ``similarity`` shares one."""
-    late = np.isin(hashes, frequent)
+    late = np.zeros(len(hashes), bool)
+    if len(frequent):  # not isin, which would sort all of frequent for each text
+        late = frequent[np.minimum(np.searchsorted(frequent, hashes), len(frequent) - 1)] == hashes
     return np.concatenate((hashes[~late], hashes[late]))[: len(hashes) - math.ceil(similarity * len(hashes) - 1e-9) + 1]
 
 
