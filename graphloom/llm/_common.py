@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,19 +25,50 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder for checkpoints and written tables that driver and executors share: the session's spark.checkpoint.dir.
 
-    A folder of our own is set only where the session names none, as in tests.
+    A folder of our own is set only where the session names none and runs on one machine, as in tests; elsewhere that is
+    an error, as executors would write to disks of their own.
     """
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
     held = context._jsc.sc().getCheckpointDir()
     if held.isEmpty():
+        if not named and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("Set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="graphloom-"))
         held = context._jsc.sc().getCheckpointDir()
     return (named or held.get()).rstrip("/")
 
 
+class Scratch:
+    """Tables written to the shared folder and read again, for loops.
+
+    A table that is read again has the size of its files and no past, where a checkpoint hands on the constraints and the
+    estimated size of the plan that it cut, which multiply from round to round.
+    """
+
+    def __init__(self, spark: SparkSession, name: str) -> None:
+        self.spark, self.place, self.n = spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}", 0
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        self.n += 1
+        path = f"{self.place}/{self.n}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def side(self, df: DataFrame, bound: int | None = None) -> DataFrame:
+        """df kept; marked for broadcast if its counted rows are within the bound, else left to a shuffled join."""
+        kept, bound = self.keep(df), BROADCAST_ROWS if bound is None else bound
+        return F.broadcast(kept) if kept.count() <= bound else kept
+
+    def forget(self, first: int, last: int) -> None:
+        """Delete tables that nothing reads any more, by their numbers."""
+        for i in range(first, last + 1):
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.place}/{i}")
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def settle(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the shared folder; a lost executor then costs a re-read only."""
+    """Cut the lineage in the shared folder; a lost executor then costs a re-read only. In loops Scratch serves instead."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
 

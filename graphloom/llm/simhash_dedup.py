@@ -1,25 +1,29 @@
 """SimHash near-duplicates by a byte-position inverted index with count filtering.
 
 A document's fingerprint is the majority vote of the hashes of its 3-word shingles. Two fingerprints that differ in at
-most ``bits`` = 2 bits differ in at most two of their eight bytes, so they share at least six positional bytes: the
+most ``BITS`` = 2 bits differ in at most two of their eight bytes, so they share at least six positional bytes: the
 count that a pair is guaranteed to reach. A posting list by one positional byte would hold 1 / 256 of the corpus, so the
-index is kept by six positional bytes at a time: each of the 28 choices of six positions is a key, and the fingerprints
-under one key differ in two known bytes, 65,536 of them at most. Inside a list the shared positional bytes of pairs are
-tallied, pairs below the minimum are dropped, and the rest are verified bit by bit. A long list is not compared in
-pairs: each fingerprint looks up the values within reach of its two free bytes. A list gives a spanning forest of its
-links, fewer than it has members.
+index is kept by five positional bytes at a time: eleven choices of three positions to leave out cover every two that may
+differ. Inside a list the shared positional bytes of each pair are tallied, pairs that stay below the six are dropped, and
+the rest are verified bit by bit. In a list of over ``PAIRS`` fingerprints (three free bytes: 2^24 at most) each looks up
+the values within its reach instead. A list gives a spanning forest of its links, fewer than it has members.
 
 Copies share a fingerprint, and each distinct fingerprint enters the index once, whatever its number of documents.
-Components come from alternating large-star and small-star steps over the links, settled after each round.
-
-``drop_duplicates`` also finds copies whose edits move more bits than that: all pairs that share ``similarity`` = 0.8 of
-their 5-word shingles, by an exact prefix-filtered join. In one order of all shingles, a set of n has a partner only if
-they share one of its first n - ceil(0.8 n) + 1: these are its keys. The order puts shingles that a sample finds frequent
-last, which shortens the lists and changes no result. Equal sets are linked first and enter as one. Pairs under a key are
-dropped only by bounds that no pair at the least similarity can break (places of the first common key, sizes, differing
-bits of a parity bitmap) or if links join them already, and the rest are verified by their very shingles. So that groups
-of any make are linked cheaply, members are first compared with one, then with several centres of their key; the last
-round compares all pairs that are still apart, so no centre hides a link. No list is gathered.
+Components come from alternating large-star and small-star steps over the links; each round's table is written to the
+shared folder and read again.
+
+``drop_duplicates`` also finds copies whose edits move more bits than that: all pairs that share ``SIMILARITY`` = 0.8 of
+their 5-word shingles. Shingles stand in one order by hash, those that a sample finds frequent apart from the rest. Of a
+set of n no more than a fifth is missing in a partner, so among a few of its first shingles one is shared: it emits so
+many that all of them are missing with a chance of ``RISK`` = 1e-12 at most over the hash, or a fifth and one more where
+that is fewer and no chance is left (``risk=0`` emits these always). A set with fewer than 0.45 of its shingles outside the frequent
+ones emits from these, one with 0.3 or more from the rest: two partners always meet in one of the two, since their shares
+differ by less. Equal sets are linked first and enter as one. Pairs under a key are dropped only by bounds that no pair at
+the least similarity can break (places of the first common key, sizes, differing bits of a parity bitmap) or if links
+join them already, and the rest are verified by their very shingles. So that groups of any make are linked cheaply,
+members are first compared with four centres of their key, those whose own keys have most members, as an original's have
+among its edited copies; the second and last round compares all pairs that are still apart, so no centre hides a link. No
+list is gathered.
 
 Edge cases. Null text, empty text, text without words: fingerprint zero, linked like any other. One or two words: one
 shingle. Null ids: such documents get a component like others; a component of null ids only has a null id. Repeated
@@ -30,58 +34,71 @@ hashed in pieces. Only the named columns are read; ``drop_duplicates`` keeps eve
 from __future__ import annotations
 
 import math
-import random
-import uuid
-from itertools import combinations, count, repeat
+from collections.abc import Iterator
+from itertools import combinations, repeat
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions.shipping import ship
-from graphloom.llm._common import BROADCAST_ROWS, WORD, each, fresh, own, settle, shared_folder, small_side
+from graphloom.llm._common import WORD, Scratch, each, fresh, own, settle, small_side
 
 SHINGLE, SEED, BITS = 3, 42, 2
 #: Positional bytes that two fingerprints share at least if they differ in BITS bits.
 SHARED = 8 - BITS
+#: The positions that each choice of the index leaves free: every two of the eight are in one of these.
+FREE = ((0, 1, 6), (0, 2, 5), (0, 3, 4), (0, 5, 7), (1, 2, 4), (1, 2, 7), (1, 3, 5), (2, 3, 6), (2, 4, 7), (3, 6, 7), (4, 5, 6))
+#: Fingerprints a task spreads over the index.
+SPREAD_ROWS = 20_000
+#: Up to so many members a list is tallied in pairs; beyond, by lookup.
+PAIRS = 256
 #: Shingles hashed at once, so that memory does not follow a text's length.
 PIECE = 1 << 16
-#: Keys of ``candidates``: so many fixed choices of WIDE_SHARED of 16 positional bytes.
-TABLES, WIDE_SHARED = 96, 4
-#: Bits of 128 in which pairs of ``candidates`` may differ.
-WIDE_BITS = 20
-#: A list has up to 2, 4, 8 centres in its rounds, and never more than 2 to the power of this.
-CENTRES = 6
 #: What near copies share of their shingles of NEAR_SHINGLE words.
 SIMILARITY, NEAR_SHINGLE = 0.8, 5
+#: The chance that a pair at SIMILARITY shares none of its emitted shingles.
+RISK = 1e-12
+#: Sets with this share of shingles outside the frequent ones emit such; those under the second emit frequent ones.
+MOSTLY_RARE, MOSTLY_OFTEN = 0.3, 0.45
 #: Bits of a shingle set's parity bitmap, kept in longs.
 BITMAP = 1024
 #: Centres of a key by round; the last round compares all pairs that are still apart.
-ROUNDS = (1, 8, None)
+ROUNDS = (4, None)
 #: A shingle is called frequent if SAMPLE_LEAST of about SAMPLE texts hold it; so many of them at most.
-SAMPLE, SAMPLE_LEAST, FREQUENT = 20_000, 8, 50_000
-#: Up to so many members a list is compared in pairs; beyond, by lookup.
-PAIRS = 48
-
-
-def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
-    """The SimHash of one whole text as a signed 64-bit number."""
-    words = (text or b"").lower().split()
-    if not words:
-        return 0
-    joined = b" ".join(words)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
-    starts = np.concatenate(([0], ends[:-1]))
-    k = min(shingle, len(words))
-    ends, starts = (ends[k - 1 :] - 1).tolist(), starts[: len(words) - k + 1].tolist()
-    votes, one = np.zeros(64, np.int64), xxhash.xxh64_intdigest
+SAMPLE, SAMPLE_LEAST, FREQUENT = 10_000, 5, 50_000
+#: A-Z in lower case, white space as space.
+_PLAIN = bytes(c + 32 if 65 <= c <= 90 else 32 if 9 <= c <= 13 else c for c in range(256))
+
+
+def words_at(text: bytes | None) -> tuple[bytes, np.ndarray]:
+    """A whole text's words in lower case with one space between, and the place of each word and of the end's next."""
+    plain = (text or b"").translate(_PLAIN).strip(b" ")
+    while b"  " in plain:
+        plain = plain.replace(b"  ", b" ")
+    if not plain:
+        return plain, np.zeros(0, np.int64)
+    return plain, np.concatenate(([0], np.flatnonzero(np.frombuffer(plain, np.uint8) == 32) + 1, [len(plain) + 1]))
+
+
+def hashes_of(plain: bytes, at: np.ndarray, shingle: int, seed: int = 0) -> Iterator[np.ndarray]:
+    """XXH64 of every shingle, repeats included, PIECE by PIECE; of fewer words the whole sequence."""
+    k = max(1, min(shingle, len(at) - 1))
+    starts, ends, one = at[: len(at) - k], at[k:] - 1, xxhash.xxh64_intdigest
     for i in range(0, len(starts), PIECE):
-        pieces = [joined[s:e] for s, e in zip(starts[i : i + PIECE], ends[i : i + PIECE], strict=True)]
-        hashes = np.fromiter(map(one, pieces, repeat(SEED)), ">u8", len(pieces))
-        votes += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int(np.packbits(votes * 2 > len(starts)).view(">i8")[0])
+        pieces = [plain[s:e] for s, e in zip(starts[i : i + PIECE].tolist(), ends[i : i + PIECE].tolist(), strict=True)]
+        yield np.fromiter(map(one, pieces, repeat(seed)), np.uint64, len(pieces))
+
+
+def fingerprint(words: tuple[bytes, np.ndarray], shingle: int = SHINGLE) -> int:
+    """The SimHash of one whole text, given by ``words_at``, as a signed 64-bit number."""
+    votes, n = np.zeros(64, np.int64), 0
+    for hashes in hashes_of(*words, shingle, SEED):
+        votes += np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+        n += len(hashes)
+    return int(np.packbits(votes * 2 > n).view(">i8")[0])
 
 
 def fingerprints(docs: DataFrame, into: str, text: str = "text", shingle: int = SHINGLE) -> DataFrame:
@@ -90,13 +107,13 @@ def fingerprints(docs: DataFrame, into: str, text: str = "text", shingle: int =
 
     @F.arrow_udf("long")
     def prints(texts: pa.Array) -> pa.Array:
-        return pa.array([fingerprint(t, shingle) for t in each(texts)], pa.int64())
+        return pa.array([fingerprint(words_at(t), shingle) for t in each(texts)], pa.int64())
 
     return docs.withColumn(into, prints(F.col(text).cast("binary")))
 
 
 def _forest(members: np.ndarray, bits: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links among fingerprints (int64) that share six positional bytes."""
+    """A spanning forest of the links among fingerprints (int64) of one posting list."""
     u = np.unique(members).view(np.uint64)
     root = list(range(len(u)))
 
@@ -117,15 +134,15 @@ def _forest(members: np.ndarray, bits: int) -> list[tuple[int, int]]:
     if len(u) <= PAIRS:
         x = u[:, None] ^ u[None, :]
         shared = (x[..., None].view(np.uint8) == 0).sum(axis=-1)
-        i, j = np.nonzero(np.triu((shared >= 8 - bits) & (np.bitwise_count(x) <= bits), 1))
-        for a, b in zip(i.tolist(), j.tolist(), strict=True):
+        i, j = np.nonzero(np.triu(shared >= 8 - bits, 1))
+        near = np.bitwise_count(x[i, j]) <= bits
+        for a, b in zip(i[near].tolist(), j[near].tolist(), strict=True):
             link(a, b)
         return out
-    free = np.uint64(int(np.bitwise_or.reduce(u ^ u[0])))
-    flips = [np.uint64(1 << b) for b in range(64) if int(free) >> b & 1]
-    masks = flips + [a | b for a, b in combinations(flips, 2)] if bits >= 2 else flips
-    for mask in masks:  # at most 16 free bits: 136 masks, each one sorted lookup
-        other = u ^ mask
+    free = int(np.bitwise_or.reduce(u ^ u[0]))
+    flips = [1 << b for b in range(64) if free >> b & 1]
+    for flip in (f for n in range(1, bits + 1) for f in combinations(flips, n)):  # at most 24 free bits: 300 masks, each one sorted lookup
+        other = u ^ np.uint64(sum(flip))
         at = np.minimum(np.searchsorted(u, other), len(u) - 1)
         hit = np.nonzero((u[at] == other) & (u < other))[0]
         for a, b in zip(hit.tolist(), at[hit].tolist(), strict=True):
@@ -134,20 +151,20 @@ def _forest(members: np.ndarray, bits: int) -> list[tuple[int, int]]:
 
 
 def links(distinct: DataFrame, fp: str = "fp") -> DataFrame:
-    """(a, b): links that connect what is within reach. distinct: one row per fingerprint."""
-    ship(distinct.sparkSession)
-    masks = []
-    for free in combinations(range(8), BITS):
-        m = (1 << 64) - 1
-        for byte in free:
-            m &= ~(0xFF << 8 * byte)
-        masks.append(m - (1 << 64) if m >> 63 else m)
-    keys = F.array(*[F.struct(F.lit(i).alias("choice"), F.col(fp).bitwiseAND(F.lit(m)).alias("bytes")) for i, m in enumerate(masks)])
-    lists = distinct.select(F.col(fp).alias("fp"), F.explode(keys).alias("k")).groupBy("k.choice", "k.bytes").agg(F.collect_list("fp").alias("members")).where(F.size("members") > 1)
+    """(a, b): links that connect what is within reach. distinct: one row per fingerprint, settled."""
+    spark = distinct.sparkSession
+    ship(spark)
+    keys = []
+    for i, free in enumerate(FREE):
+        m = sum(0xFF << 8 * byte for byte in range(8) if byte not in free)
+        keys.append(F.struct(F.lit(i).alias("choice"), F.col("fp").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)).alias("bytes")))
+    # a row becomes eleven: dealt out by what comes of them, not by what they weigh
+    spread = distinct.select(F.col(fp).alias("fp")).repartition(-(-distinct.count() // SPREAD_ROWS) or 1)
+    lists = spread.select("fp", F.explode(F.array(*keys)).alias("k")).groupBy("k.choice", "k.bytes").agg(F.collect_list("fp").alias("members")).where(F.size("members") > 1)
 
     def forests(batches):
         for batch in batches:
-            found = [p for m in batch.column(0).to_pylist() for p in _forest(np.array(m, np.int64), BITS)]
+            found = [p for m in each(batch.column(0)) for p in _forest(np.array(m, np.int64), BITS)]
             a, b = zip(*found, strict=True) if found else ((), ())
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
@@ -157,30 +174,31 @@ def links(distinct: DataFrame, fp: str = "fp") -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): root is the smallest node reachable by edges (a, b). Nodes without an edge are absent.
 
-    Large-star then small-star steps until the links stand still; each links nodes to smaller ones, through joins and
+    Large-star then small-star steps until only stars are left; each links nodes to smaller ones, through joins and
     minima only, so that no node's neighbours meet in one group.
     """
-    e = settle(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    said = None
+    scratch = Scratch(edges.sparkSession, "components")
+    e = scratch.keep(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     while True:
+        before = scratch.n
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        # settled, a minimum's side of the join is a plain one, so Spark can split a hub's partition on the other
-        low = small_side(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = settle(large)
-        low = small_side(large.groupBy("u").agg(F.min("v").alias("m")))
+        # kept, a minimum's side of the join is a plain one, so Spark can split a hub's partition on the other
+        low = scratch.side(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
+        large = scratch.keep(both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        low = scratch.side(large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")))
+        stars = not low.where("n > 1").limit(1).count() and not large.join(low.select(F.col("u").alias("v")), "v", "left_semi").limit(1).count()
+        if stars:
+            scratch.forget(before, scratch.n - 2)
+            return large.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(large.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
-        e = settle(small)
-        now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == said:
-            return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
-        said = now
+        e = scratch.keep(small)
+        scratch.forget(before, scratch.n - 1)
 
 
 def grouped(printed: DataFrame) -> DataFrame:
     """(fp, first_id, root) of every distinct fingerprint, from (doc_id, fp), settled."""
     firsts = settle(printed.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
-    roots = settle(components(links(firsts)))
+    roots = components(links(firsts))
     return settle(firsts.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")))
 
 
@@ -192,25 +210,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     return printed.join(named.join(ids, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
-def shingle_hashes(text: bytes | None, shingle: int = NEAR_SHINGLE) -> np.ndarray:
-    """The set of a text's word shingles, hashed and sorted; of fewer words the whole sequence."""
-    words = (text or b"").lower().split()
-    if len(words) <= shingle:
-        return np.array([xxhash.xxh64_intdigest(b" ".join(words))], np.uint64).view(np.int64)
-    joined = b" ".join(words)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
-    starts = np.concatenate(([0], ends[:-1]))[: len(words) - shingle + 1].tolist()
-    ends, one = (ends[shingle - 1 :] - 1).tolist(), xxhash.xxh64_intdigest
-    hashes = np.fromiter((one(joined[s:e]) for s, e in zip(starts, ends, strict=True)), np.uint64, len(starts))
-    return np.unique(hashes.view(np.int64))
+def shingle_hashes(words: tuple[bytes, np.ndarray], shingle: int = NEAR_SHINGLE) -> np.ndarray:
+    """The set of a text's word shingles, hashed and sorted; of fewer words the whole sequence, of none one of its own."""
+    found = list(hashes_of(*words, shingle)) or [np.zeros(1, np.uint64)]
+    return np.unique(np.concatenate(found).view(np.int64))
 
 
-def prefix(hashes: np.ndarray, frequent: np.ndarray, similarity: float = SIMILARITY) -> np.ndarray:
-    """The keys of a set: its first shingles, frequent ones last, of which a pair at ``similarity`` shares one."""
+def first_keys(hashes: np.ndarray, frequent: np.ndarray, similarity: float = SIMILARITY, risk: float = RISK) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles that a set emits, outside the frequent ones and among them: a partner shares one of either, but for risk."""
     late = np.zeros(len(hashes), bool)
     if len(frequent):  # not isin, which would sort all of frequent for each text
         late = frequent[np.minimum(np.searchsorted(frequent, hashes), len(frequent) - 1)] == hashes
-    return np.concatenate((hashes[~late], hashes[late]))[: len(hashes) - math.ceil(similarity * len(hashes) - 1e-9) + 1]
+    missing = len(hashes) - math.ceil(similarity * len(hashes) - 1e-9)
+
+    def some(part: np.ndarray) -> np.ndarray:
+        enough = missing + 1
+        if 0 < missing < len(part) and risk:
+            enough = min(enough, math.ceil(math.log(risk) / math.log(missing / len(part))))
+        return part[:enough]
+
+    rare, often = hashes[~late], hashes[late]
+    return some(rare) if len(rare) >= MOSTLY_RARE * len(hashes) else rare[:0], some(often) if len(rare) < MOSTLY_OFTEN * len(hashes) else often[:0]
 
 
 def bitmap(hashes: np.ndarray) -> list[int]:
@@ -219,127 +239,88 @@ def bitmap(hashes: np.ndarray) -> list[int]:
     return np.packbits(odd.astype(np.uint8)).view(">i8").tolist()
 
 
-def _wide_keys(a, b):
-    """Keys of the wide index: each a choice of positions and the bytes there."""
-    chosen = random.Random(SEED).sample(list(combinations(range(16), WIDE_SHARED)), TABLES)
-    out = []
-    for i, positions in enumerate(chosen):
-        masks = [sum(0xFF << 8 * (p % 8) for p in positions if p // 8 == half) for half in (0, 1)]
-        low, high = (F.lit(m - (1 << 64) if m >> 63 else m) for m in masks)
-        out.append(F.xxhash64(F.lit(i), a.bitwiseAND(low), b.bitwiseAND(high)))
-    return F.array(*out)
-
-
-def candidates(nodes: DataFrame) -> DataFrame:
-    """(x, y): pairs of members and centres of one key that differ in WIDE_BITS bits at most, x the greater.
+def frequent_shingles(texts: DataFrame) -> np.ndarray:
+    """Hashes of shingles that many texts of a sample hold, sorted. texts: (node, text).
 
-    ``drop_duplicates`` does not use it, as it is not complete: a member that is close to a centre is not compared further.
-    Rounds double a list's centres, so that lists of many strangers empty soon; each centre is close to itself and
-    leaves, so the rounds end.
+    They only shorten the lists: whatever is called frequent, no pair is lost. The sample's bound is SAMPLE texts or so,
+    and FREQUENT hashes reach the driver at most.
     """
-    left = nodes.select("r", F.explode(_wide_keys(F.col("a"), F.col("b"))).alias("k"))
-    known = nodes.select(F.col("r").alias("c"), F.col("a").alias("c_a"), F.col("b").alias("c_b"))
-    apart = lambda c: F.bit_count(F.col("a").bitwiseXOR(c["c_a"])) + F.bit_count(F.col("b").bitwiseXOR(c["c_b"]))
-    out = None
-    for turn in count():
-        parts = 1 << min(turn, CENTRES - 1)
-        ends = left.groupBy("k", F.pmod(F.xxhash64("r"), F.lit(parts)).alias("part")).agg(F.min("r").alias("lo"), F.max("r").alias("hi"))
-        if not turn:  # most keys have one member
-            ends = ends.where("lo < hi")
-        centres = ends.select("k", F.explode(F.array_distinct(F.array("lo", "hi"))).alias("c")).join(known, "c")
-        # settled, the lists are a plain side of the join, so Spark can split a hot key's partition on the other
-        lists = small_side(centres.groupBy("k").agg(F.collect_list(F.struct("c", "c_a", "c_b")).alias("cs")), BROADCAST_ROWS // parts)
-        near = F.transform(F.filter("cs", lambda c: apart(c) <= WIDE_BITS), lambda c: c["c"]).alias("near")
-        judged = left.join(lists, "k").join(nodes.select("r", "a", "b"), "r").select("k", "r", near)
-        judged = settle(judged.where((F.size("near") == 0) | F.exists("near", lambda c: c != F.col("r"))))
-        pairs = judged.select("r", F.explode("near").alias("c")).where("r <> c").select(F.greatest("r", "c").alias("x"), F.least("r", "c").alias("y"))
-        out = pairs if out is None else out.unionByName(pairs)
-        left = judged.where(F.size("near") == 0).select("r", "k")
-        if not left.limit(1).count():
-            return out.distinct()
-
-
-def frequent_shingles(texts: DataFrame) -> np.ndarray:
-    """Hashes of shingles that many texts of a sample hold, sorted. texts: (nid, text)."""
     n = texts.count()
 
     @F.arrow_udf("array<long>")
     def shingles(found: pa.Array) -> pa.Array:
-        return pa.array([shingle_hashes(t) for t in each(found)], pa.list_(pa.int64()))
+        return pa.array([shingle_hashes(words_at(t)) for t in each(found)], pa.list_(pa.int64()))
 
-    some = texts.where(F.pmod(F.xxhash64("nid"), F.lit(-(-n // SAMPLE) or 1)) == 0)
+    some = texts.where(F.pmod(F.xxhash64("node"), F.lit(-(-n // SAMPLE) or 1)) == 0)
     counted = some.select(F.explode(shingles(F.col("text").cast("binary"))).alias("h")).groupBy("h").count().where(F.col("count") >= SAMPLE_LEAST)
     return np.sort(np.array([r.h for r in counted.orderBy(F.desc("count"), "h").limit(FREQUENT).collect()], np.int64))
 
 
-def near_pairs(shared: DataFrame, groups: DataFrame, centres: int | None, similarity: float) -> DataFrame:
+def near_pairs(shared: DataFrame, groups: DataFrame, centres: int | None, similarity: float, scratch: Scratch) -> DataFrame:
     """(x, y): pairs of a key, not of one group yet, that no bound keeps from ``similarity``.
 
-    shared: (k, r, i, n, b0, b1, ...): keys of several sets, the key's place in the set, its size and bitmap; groups:
-    (node, root). With centres, members are compared with so many of their key, else with each other.
+    shared: (k, r, i, n, pop, b0, b1, ...): keys of several sets, the key's place in the set, the set's size, how many
+    members its keys have, its bitmap; groups: (node, root). With centres, members are compared with so many of their key, else with each other.
     """
-    known = shared.join(groups.withColumnRenamed("node", "r"), "r", "left").withColumn("g", F.coalesce("root", "r")).drop("root")
-    of_key = Window.partitionBy("k")
-    known = settle(known.withColumn("g0", F.min("g").over(of_key)).withColumn("g1", F.max("g").over(of_key)).where("g0 < g1").drop("g0", "g1"))
+    known = scratch.keep(shared.join(groups.withColumnRenamed("node", "r"), "r", "left").withColumn("g", F.coalesce("root", "r")).drop("root"))
+    apart = scratch.side(known.groupBy("k").agg(F.min("g").alias("g0"), F.max("g").alias("g1")).where("g0 < g1").select("k"))
+    known = scratch.keep(known.join(apart, "k", "left_semi"))
     other = known
     if centres:
         part = F.pmod(F.xxhash64("r"), F.lit(centres))
-        other = known.withColumn("turn", F.row_number().over(Window.partitionBy("k", part).orderBy("r"))).where("turn = 1").drop("turn")
+        other = scratch.keep(known.groupBy("k", part.alias("part")).agg(F.max_by(F.struct(*own(known)), F.struct("pop", "r")).alias("c")).select("c.*"))
     longs = [c for c in shared.columns if c.startswith("b")]
-    x, y = known.select("k", *[F.col(c).alias(f"x_{c}") for c in ("r", "g", "i", "n", *longs)]), other.select("k", *[F.col(c).alias(f"y_{c}") for c in ("r", "g", "i", "n", *longs)])
+    x, y = (side.select("k", *[F.col(c).alias(f"{name}_{c}") for c in ("r", "g", "i", "n", *longs)]) for name, side in (("x", known), ("y", other)))
     both = F.col("x_n") + F.col("y_n")
-    apart = sum((F.bit_count(F.col(f"x_{c}").bitwiseXOR(F.col(f"y_{c}"))) for c in longs), F.lit(0))
+    differ = sum((F.bit_count(F.col(f"x_{c}").bitwiseXOR(F.col(f"y_{c}"))) for c in longs), F.lit(0))
     least, most = similarity / (1 + similarity) * both - 1e-6, (1 - similarity) / (1 + similarity) * both + 1e-6
     # under their first common key, all before it are in one set only and all that they share begins there
     first = (F.col("x_i") + F.col("y_i") <= most) & (F.least(F.col("x_n") - F.col("x_i"), F.col("y_n") - F.col("y_i")) >= least)
     own_order = F.col("x_r") != F.col("y_r") if centres else F.col("x_r") > F.col("y_r")
-    pairs = x.join(y, "k").where(own_order & (F.col("x_g") != F.col("y_g")) & first & (apart <= most))
-    return pairs.select(F.greatest("x_r", "y_r").alias("x"), F.least("x_r", "y_r").alias("y")).distinct()
+    pairs = x.join(y, "k").where(own_order & (F.col("x_g") != F.col("y_g")) & first & (differ <= most))
+    return scratch.keep(pairs.select(F.greatest("x_r", "y_r").alias("x"), F.least("x_r", "y_r").alias("y")).distinct())
 
 
-def verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): pairs of nodes that share ``similarity`` of their shingles. nodes: (r, nid); texts: (nid, text)."""
-    numbered = lambda n: nodes.select(F.col("r").alias(n), F.col("nid").alias(f"{n}_nid"))
-    close = settle(pairs.join(numbered("x"), "x").join(numbered("y"), "y"))
+def verified(pairs: DataFrame, texts: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
+    """(a, b): the pairs (x, y) that share ``similarity`` of their shingles. texts: (node, text)."""
 
     @F.arrow_udf("array<long>")
     def shingles(found: pa.Array) -> pa.Array:
-        return pa.array([shingle_hashes(t) for t in each(found)], pa.list_(pa.int64()))
+        return pa.array([shingle_hashes(words_at(t)) for t in each(found)], pa.list_(pa.int64()))
 
-    wanted = small_side(close.select(F.explode(F.array("x_nid", "y_nid")).alias("nid")).distinct())
-    held = settle(texts.join(wanted, "nid", "left_semi").select("nid", shingles(F.col("text").cast("binary")).alias("s")))
-    both = close.join(held.select(F.col("nid").alias("x_nid"), F.col("s").alias("x_s")), "x_nid").join(held.select(F.col("nid").alias("y_nid"), F.col("s").alias("y_s")), "y_nid")
+    wanted = scratch.side(pairs.select(F.explode(F.array("x", "y")).alias("node")).distinct())
+    held = scratch.keep(texts.join(wanted, "node", "left_semi").select("node", shingles(F.col("text").cast("binary")).alias("s")))
+    both = pairs.join(held.select(F.col("node").alias("x"), F.col("s").alias("x_s")), "x").join(held.select(F.col("node").alias("y"), F.col("s").alias("y_s")), "y")
     shared = F.size(F.array_intersect("x_s", "y_s"))
-    return both.where(shared >= similarity * (F.size("x_s") + F.size("y_s") - shared)).select(F.col("x").alias("a"), F.col("y").alias("b"))
+    return scratch.keep(both.where(shared >= similarity * (F.size("x_s") + F.size("y_s") - shared)).select(F.col("x").alias("a"), F.col("y").alias("b")))
 
 
-def near_groups(nodes: DataFrame, texts: DataFrame, links: DataFrame, place: str, similarity: float = SIMILARITY) -> DataFrame:
+def near_groups(nodes: DataFrame, texts: DataFrame, links: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(node, root): components of links (a, b) and of all pairs of nodes that share ``similarity`` of their shingles.
 
-    nodes: (r, nid, sig, n, keys, bits), settled; texts: (nid, text), one row per node; place: a folder for the links.
+    nodes: (r, sig, n, rare, often, bits), settled; texts: (node, text), one row per node.
     """
-
-    def stored(i: int, edges: DataFrame) -> DataFrame:
-        """Written, not settled: a checkpoint hands on its plan's constraints, which multiply from round to round."""
-        edges.write.parquet(f"{place}/{i}")
-        return edges.sparkSession.read.schema("a long, b long").parquet(f"{place}/{i}")
-
-    firsts = settle(nodes.groupBy("sig").agg(F.min("r").alias("lo")))
+    scratch = Scratch(nodes.sparkSession, "near")
+    firsts = scratch.keep(nodes.groupBy("sig").agg(F.min("r").alias("lo")))
     same = nodes.select("r", "sig").join(firsts, "sig").where("r <> lo").select(F.col("r").alias("a"), F.col("lo").alias("b"))
-    edges = stored(0, links.union(same))
-    reps = nodes.join(small_side(firsts.select(F.col("lo").alias("r"))), "r", "left_semi")
-    of_key = Window.partitionBy("k").orderBy("r")
-    held = reps.select("r", "n", F.posexplode("keys").alias("i", "k")).withColumn("before", F.lag("r").over(of_key)).withColumn("after", F.lead("r").over(of_key))
-    held = settle(held.where("before is not null or after is not null").select("k", "r", "i", "n"))
-    bits = nodes.select("r", *[F.col("bits")[j].alias(f"b{j}") for j in range(BITMAP // 64)])
-    shared = settle(held.join(bits, "r"))
-    for turn, centres in enumerate(ROUNDS, 1):
-        pairs = near_pairs(shared, components(edges), centres, similarity)
-        edges = edges.union(stored(turn, verified(pairs, nodes.select("r", "nid"), texts, similarity)))
-    return components(edges)
-
-
-def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+    groups = components(links.union(same))
+    reps = nodes.join(scratch.side(firsts.select(F.col("lo").alias("r"))), "r", "left_semi")
+    placed = lambda c: F.transform(c, lambda k, i: F.struct(k.alias("k"), i.alias("i")))
+    held = scratch.keep(reps.select("r", "n", F.explode(F.concat(placed("rare"), placed("often"))).alias("e")).select("e.k", "r", "e.i", "n"))
+    several = scratch.side(held.groupBy("k").agg(F.count(F.lit(1)).alias("c")).where("c > 1"))
+    held = scratch.keep(held.join(several, "k"))
+    told = held.groupBy("r").agg(F.sum("c").alias("pop")).join(nodes.select("r", *[F.col("bits")[j].alias(f"b{j}") for j in range(BITMAP // 64)]), "r")
+    shared = scratch.keep(held.drop("c").join(told, "r"))
+    for centres in ROUNDS:
+        pairs = near_pairs(shared, groups, centres, similarity, scratch)
+        if pairs.limit(1).count():
+            stars = groups.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
+            groups = components(stars.union(verified(pairs, texts, similarity, scratch)))
+    scratch.forget(1, scratch.n)
+    return groups
+
+
+def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, risk: float = RISK) -> DataFrame:
     """The rows of docs that stay: of each group the one with the smallest id, nulls last, with its columns.
 
     A group holds what fingerprints link and what shares ``similarity`` of its shingles. Texts are shuffled once, by
@@ -347,36 +328,34 @@ def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     """
     spark = docs.sparkSession
     ship(spark)
-    nid, words = fresh(docs, "gl_nid", "gl_words")
-    place = f"{shared_folder(spark)}/dedup-{uuid.uuid4().hex}"
+    node, words = fresh(docs, "gl_node", "gl_words")
     has = F.when(F.col(text).rlike(WORD), F.col(text)).otherwise("")
     smallest = F.min_by(F.struct(*own(docs)), F.struct(F.col(id_col).isNull(), F.col(id_col))).alias("row")
-    docs.groupBy(F.md5(has.cast("binary")).alias(words)).agg(smallest).select("row.*", F.monotonically_increasing_id().alias(nid)).write.parquet(place)
-    stored = spark.read.parquet(place)
+    stored = Scratch(spark, "dedup").keep(docs.groupBy(F.md5(has.cast("binary")).alias(words)).agg(smallest).select("row.*", F.monotonically_increasing_id().alias(node)))
 
-    texts = stored.select(F.col(nid).alias("nid"), F.col(text).alias("text"))
+    texts = stored.select(F.col(node).alias("node"), F.col(text).alias("text"))
     frequent = frequent_shingles(texts)
 
-    @F.arrow_udf("struct<fp:bigint,sig:binary,n:int,keys:array<bigint>,bits:array<bigint>>")
+    @F.arrow_udf("struct<fp:bigint,sig:binary,n:int,rare:array<bigint>,often:array<bigint>,bits:array<bigint>>")
     def told(found: pa.Array) -> pa.Array:
         rows = []
         for t in each(found):
-            s = shingle_hashes(t)
-            rows.append((fingerprint(t), xxhash.xxh3_128_digest(s.tobytes()), len(s), prefix(s, frequent, similarity), bitmap(s)))
+            s = shingle_hashes(at := words_at(t))
+            rows.append((fingerprint(at), xxhash.xxh3_128_digest(s.tobytes()), len(s), *first_keys(s, frequent, similarity, risk), bitmap(s)))
         longs = pa.list_(pa.int64())
-        return pa.StructArray.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int64(), pa.binary(), pa.int32(), longs, longs))], names=["fp", "sig", "n", "keys", "bits"])
+        kinds = (pa.int64(), pa.binary(), pa.int32(), longs, longs, longs)
+        return pa.StructArray.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], names=["fp", "sig", "n", "rare", "often", "bits"])
 
-    slim = settle(stored.select(F.col(nid).alias("nid"), F.col(id_col).alias("id"), told(F.col(text).cast("binary")).alias("p")).select("nid", "id", "p.*"))
-    # numbered in the order of ids, so that a group's least number has its smallest id
-    order = settle(slim.select("nid", "id").orderBy(F.col("id").asc_nulls_last(), "nid").select("nid", F.monotonically_increasing_id().alias("r")))
-    nodes = settle(slim.drop("id").join(order, "nid"))
+    nodes = settle(stored.select(F.col(node).alias("r"), F.col(id_col).alias("id"), told(F.col(text).cast("binary")).alias("p")).select("r", "id", "p.*"))
     firsts = settle(nodes.groupBy("fp").agg(F.min("r").alias("lo")))
     of = lambda n: firsts.select(F.col("fp").alias(n), F.col("lo").alias(f"{n}_r"))
     linked = links(firsts.select("fp")).join(of("a"), "a").join(of("b"), "b").select(F.col("a_r").alias("a"), F.col("b_r").alias("b"))
     alike = nodes.join(firsts, "fp").where("r <> lo").select(F.col("r").alias("a"), F.col("lo").alias("b"))
-    roots = near_groups(nodes, texts, alike.union(linked), f"{place}-links", similarity).where("node <> root")
-    gone = small_side(nodes.join(roots.withColumnRenamed("node", "r"), "r", "left_semi").select(F.col("nid").alias(nid)))
-    return stored.join(gone, nid, "left_anti").select(*own(docs))
+    groups = near_groups(nodes, texts, alike.union(linked), similarity)
+    members = settle(nodes.select("r", "id").join(groups.withColumnRenamed("node", "r"), "r"))
+    stay = members.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "r")).alias("least")).select("least.r")
+    gone = small_side(members.select("r").join(settle(stay), "r", "left_anti").select(F.col("r").alias(node)))
+    return stored.join(gone, node, "left_anti").select(*own(docs))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

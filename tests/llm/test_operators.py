@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import duckdb
+import numpy as np
 import pytest
 import xxhash
 
@@ -242,21 +243,85 @@ def test_lengthened_and_shortened_copies_go(spark):
     assert stays(spark, texts + copies) == set(range(72))
 
 
-def test_strangers_under_a_key_hide_no_candidate(spark):
+def jaccard(a, b):
+    return len(a & b) / len(a | b)
+
+
+def test_strangers_around_a_common_passage_hide_no_pair(spark):
     rng = random.Random(8)
-    signed = lambda v: v - (1 << 64) if v >> 63 else v
-    far, seen = [], []
-    while len(far) < 150:  # one half in common, the other far from all before: strangers in one list
-        v = rng.getrandbits(64)
-        if all((v ^ o).bit_count() > simhash_dedup.WIDE_BITS for o in far):
-            far.append(v)
-    for i, v in enumerate(far):
-        seen += [v, v ^ (1 << rng.randrange(64))] if i % 3 == 0 else [v]
-    rng.shuffle(seen)
-    nodes = spark.createDataFrame([(r, r, 0, signed(v)) for r, v in enumerate(seen)], "r long, nid long, a long, b long")
-    got = {(p.x, p.y) for p in simhash_dedup.candidates(nodes).collect()}
-    assert got == {(x, y) for x in range(len(seen)) for y in range(x) if (seen[x] ^ seen[y]).bit_count() <= simhash_dedup.WIDE_BITS}
-    assert len(got) >= 50 and simhash_dedup.candidates(nodes.limit(0)).count() == 0
+    passage = [f"p{i}" for i in range(40)]
+    say = lambda n: [f"v{rng.randrange(10**7)}" for _ in range(n)]
+    texts, root = [], {}
+    for i in range(1500):  # strangers that share half of their shingles or more, and every fifth has a copy near the limit
+        words = [*passage, *say(rng.randint(16, 45))]
+        root[len(texts)] = copied = len(texts)
+        texts.append(" ".join(words))
+        if i % 5 == 0:
+            other = [*words, *say(max(1, (len(words) - 4) // 5 if i % 2 else 1))]
+            assert jaccard(*({" ".join(w[i : i + 5]) for i in range(len(w) - 4)} for w in (words, other))) >= 0.8
+            root[len(texts)] = copied
+            texts.append(" ".join(other))
+    prints = np.array([simhash(t) for t in texts], np.uint64)
+    for i in range(len(texts)):  # fingerprints link a few more
+        for j in np.nonzero(np.bitwise_count(prints[:i] ^ prints[i]) <= 2)[0].tolist():
+            a, b = sorted((root[i], root[j]))
+            root = {k: a if r == b else r for k, r in root.items()} if a != b else root
+    assert stays(spark, texts) == set(root.values())
+
+
+def test_no_risk_finds_the_same(spark):
+    rng = random.Random(31)
+    common = [f"c{i}" for i in range(300)]
+    rows = []
+    for i in range(120):  # from all words of one's own to all words of a passage that many share
+        own = [f"o{i}x{k}" for k in range(200)]
+        at = rng.randrange(100)
+        words = [*common[at : at + 200][: rng.randint(0, 200)], *own[: rng.randint(1, 200)]]
+        rows.append((i, " ".join(words), "en", "a"))
+        for k in range(3):
+            other = list(words)
+            for _ in range(max(1, len(words) // 50 * (k + 1))):
+                other[rng.randrange(len(other))] = f"e{rng.randrange(10**6)}"
+            rows.append((1000 * (k + 1) + i, " ".join(other), "en", "a"))
+    got = [Counter(r.doc_id for r in simhash_dedup.drop_duplicates(frame(spark, rows), risk=risk).collect()) for risk in (simhash_dedup.RISK, 0)]
+    sets = [{" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (t.split() for _, t, *_ in rows)]
+    group = classes([simhash(t) for _, t, *_ in rows], sets, lambda a, b: jaccard(a, b) >= 0.8)
+    least = {g: min(i for (i, *_), x in zip(rows, group, strict=True) if x == g) for g in group}
+    assert got[0] == got[1] == Counter(least.values())
+
+
+def test_partners_meet_in_one_kind_of_key():
+    rng = np.random.default_rng(5)
+    for _ in range(400):
+        n, share = int(rng.integers(30, 900)), rng.random()
+        often = rng.integers(-(2**63), 2**63 - 1, n)
+        base = np.unique(np.concatenate([often[: int(n * share)], rng.integers(-(2**63), 2**63 - 1, n - int(n * share))]))
+        gone, more = int(rng.random() * 0.1 * n), int(rng.random() * 0.1 * n)
+        other = np.unique(np.concatenate([rng.permutation(base)[gone:], rng.integers(-(2**63), 2**63 - 1, more)]))
+        if jaccard(set(base.tolist()), set(other.tolist())) >= 0.8:
+            a, b = (simhash_dedup.first_keys(s, np.sort(often)) for s in (base, other))
+            assert set(a[0].tolist()) & set(b[0].tolist()) or set(a[1].tolist()) & set(b[1].tolist())
+
+
+def test_long_paths_and_hubs_are_one_component(spark):
+    path = spark.range(1, 3000).selectExpr("id * 7919 % 3001 as a", "(id + 1) * 7919 % 3001 as b")
+    hub = spark.range(10_000, 14_000).selectExpr("10000 as a", "id as b")
+    plans = []
+    scratch = simhash_dedup.Scratch
+
+    class Watched(scratch):
+        def keep(self, df):
+            out = super().keep(df)
+            plans.append(out._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+            return out
+
+    simhash_dedup.Scratch = Watched
+    try:
+        got = simhash_dedup.components(path.union(hub)).collect()
+    finally:
+        simhash_dedup.Scratch = scratch
+    assert Counter(r.root for r in got) == {1: 3000, 10_000: 4000}
+    assert max(map(int, plans)) < 10**7  # estimates follow the tables, not the rounds
 
 
 def test_links_lose_none(spark):
@@ -268,7 +333,7 @@ def test_links_lose_none(spark):
             p ^= 1 << b
         prints.append(p)
     centre = rng.getrandbits(64)
-    prints += [centre ^ x for x in range(300)]  # a long list: more members than are compared in pairs
+    prints += [centre ^ x for x in range(900)]  # a long list: more members than are compared in pairs
     prints = sorted(set(prints))
     signed = [p - (1 << 64) if p >> 63 else p for p in prints]
     edges = simhash_dedup.links(spark.createDataFrame([(s,) for s in signed], "fp long"))
@@ -298,8 +363,6 @@ def test_decontamination(spark, docs, none):
 
 
 def test_decontamination_against_alignment_of_everything(spark):
-    import numpy as np
-
     rng = random.Random(8)
     vocab = [f"w{i}" for i in range(60)]
     items = [" ".join(rng.choices(vocab, k=rng.randint(10, 25))) for _ in range(12)]
@@ -318,8 +381,6 @@ def test_decontamination_against_alignment_of_everything(spark):
 
 
 def test_alignment_scores():
-    import numpy as np
-
     def plain(a, b):
         h = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
         for i in range(1, len(a) + 1):
@@ -390,8 +451,6 @@ def test_automaton_against_edit_distance():
 
 
 def test_factorisation_machine_pairs():
-    import numpy as np
-
     rng = np.random.default_rng(1)
     model = (0.3, rng.normal(size=quality_classifier.WIDTH), rng.normal(size=(quality_classifier.WIDTH, 3)))
     index, value = np.array([3, 50, 4100]), np.array([0.5, -1.0, 2.0])
