@@ -2,9 +2,11 @@
 
 Each document gets ratios of its own text. The ratios of every (language, source) group are summed into mergeable
 quantile sketches: counts by logarithmic bucket, so a quantile is known to one percent of its value, sketches merge by
-adding counts, and the result does not depend on the order of rows or on a lost executor. A group's fences are its
-quartiles plus a multiple of their distance; groups too small for quartiles of their own use the sketch merged over
-their language, then over everything. A document outside a fence goes.
+adding counts, and the result does not depend on the order of rows or on a lost executor. A group's fence is its upper
+quartile plus REACH times its spread: the distance of its quartiles and what one occurrence adds to its median document,
+so groups in which a sign hardly occurs have a spread of their own too. No fence is fixed beforehand. A group's quantiles are
+drawn towards those of its language, and these towards those of everything, by the weight of PRIOR documents, so that
+small groups follow the merged sketches and large ones their own. A document outside a fence goes.
 
 Edge cases. Null or empty text: no words, so ``base_failed``. Null language or source: groups of their own. Repeated
 rows: each is judged, alike. An empty table: an empty result. Other columns: kept by ``filter_documents``, whatever
@@ -26,15 +28,12 @@ from graphloom.llm._common import CONTINUATION, each, fresh, own, settle, small_
 GAMMA = 1.02
 #: Values below this share the sketch's zero bucket.
 TINY = 1e-4
-#: Documents a group needs for quartiles of its own.
-MIN_GROUP = 100
-#: Ratio: (reach above the upper quartile, in distances of the quartiles; least distance of the quartiles).
-RATIOS = {
-    "symbol_ratio": (6.0, 0.005),
-    "dup_line_ratio": (6.0, 0.1),
-    "upper_ratio": (6.0, 0.05),
-    "bang_ratio": (6.0, 0.02),
-}
+#: Documents that the merged sketch counts as in a group's own.
+PRIOR = 20
+#: Spreads above the upper quartile at which a fence stands.
+REACH = 12
+#: Ratio: what it is a share of.
+RATIOS = {"symbol_ratio": "word_chars", "dup_line_ratio": "n_lines", "upper_ratio": "word_chars", "bang_ratio": "word_chars"}
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 MORE = ("n_lines", "n_upper", "n_bang")
 _SYMBOLS, _UPPER, _BANG = b"#*$%&|<>", bytes(range(65, 91)), b"!"
@@ -94,16 +93,20 @@ def features(docs: DataFrame, into: str, text: str = "text") -> DataFrame:
 
 
 def _ratios(f: str) -> dict:
-    per = lambda n, d: F.when(F.col(f"{f}.{d}") > 0, F.col(f"{f}.{n}") / F.col(f"{f}.{d}")).otherwise(F.lit(0.0))
-    return {"symbol_ratio": per("n_symbols", "word_chars"), "dup_line_ratio": per("n_dup_lines", "n_lines"), "upper_ratio": per("n_upper", "word_chars"), "bang_ratio": per("n_bang", "word_chars")}
+    counted = {"symbol_ratio": "n_symbols", "dup_line_ratio": "n_dup_lines", "upper_ratio": "n_upper", "bang_ratio": "n_bang"}
+    return {k: F.when(F.col(f"{f}.{d}") > 0, F.col(f"{f}.{counted[k]}") / F.col(f"{f}.{d}")).otherwise(F.lit(0.0)) for k, d in RATIOS.items()}
 
 
 def sketches(measured: DataFrame, f: str, lang: str = "lang", source: str = "source") -> DataFrame:
-    """(lang, source, ratio, bucket, n): the sketches of all groups. Documents without words are left out: they fail anyway."""
+    """(lang, source, ratio, bucket, n): the sketches of all groups, of ratios and of what they are shares of.
+
+    Documents without enough words are left out: they fail anyway.
+    """
     v = F.col("r.v")
+    held = _ratios(f) | {d: F.col(f"{f}.{d}").cast("double") for d in sorted(set(RATIOS.values()))}
     return (
         measured.where(F.col(f"{f}.n_words") >= 10)
-        .select(F.col(lang).alias("lang"), F.col(source).alias("source"), F.explode(F.array(*[F.struct(F.lit(k).alias("ratio"), c.alias("v")) for k, c in _ratios(f).items()])).alias("r"))
+        .select(F.col(lang).alias("lang"), F.col(source).alias("source"), F.explode(F.array(*[F.struct(F.lit(k).alias("ratio"), c.alias("v")) for k, c in held.items()])).alias("r"))
         .select("lang", "source", "r.ratio", F.when(v < TINY, F.lit(None)).otherwise(F.ceil(F.log(v) / math.log(GAMMA))).cast("int").alias("bucket"))
         .groupBy("lang", "source", "ratio", "bucket")
         .agg(F.count(F.lit(1)).alias("n"))
@@ -111,13 +114,13 @@ def sketches(measured: DataFrame, f: str, lang: str = "lang", source: str = "sou
 
 
 def thresholds(sketch: DataFrame) -> DataFrame:
-    """(lang, source, ratio, upper): fences of each group, by its own sketch or by the smallest merged one that is large enough."""
+    """(lang, source, ratio, upper): the fences of each group."""
     sketch.createOrReplaceTempView("gl_sketch")
-    reach = " ".join(f"WHEN '{k}' THEN {up}D" for k, (up, _) in RATIOS.items())
-    floor = " ".join(f"WHEN '{k}' THEN {least}D" for k, (_, least) in RATIOS.items())
     value = f"coalesce(2 * power({GAMMA}D, min(CASE WHEN cum >= {{q}} * total THEN bucket END)) / ({GAMMA}D + 1), 0D)"
     # the zero bucket is null and sorts first; a quantile that falls in it is zero
     quantile = lambda q: f"CASE WHEN max(CASE WHEN bucket IS NULL THEN cum END) >= {q} * max(total) THEN 0D ELSE {value.format(q=q)} END"
+    drawn = lambda q: f"(a.total * a.{q} + {PRIOR} * ((b.total * b.{q} + {PRIOR} * c.{q}) / (b.total + {PRIOR}))) / (a.total + {PRIOR}) AS {q}"
+    shares = " ".join(f"WHEN '{k}' THEN '{d}'" for k, d in RATIOS.items())
     return sketch.sparkSession.sql(f"""
         WITH merged AS (
           SELECT 0 AS level, lang, source, ratio, bucket, n FROM gl_sketch
@@ -127,16 +130,15 @@ def thresholds(sketch: DataFrame) -> DataFrame:
           SELECT *, sum(n) OVER (PARTITION BY level, lang, source, ratio ORDER BY bucket NULLS FIRST) AS cum,
                  sum(n) OVER (PARTITION BY level, lang, source, ratio) AS total FROM merged),
         quartiles AS (
-          SELECT level, lang, source, ratio, max(total) AS total, {quantile(0.25)} AS q1, {quantile(0.75)} AS q3
+          SELECT level, lang, source, ratio, max(total) AS total, {quantile(0.25)} AS q1, {quantile(0.5)} AS q2, {quantile(0.75)} AS q3
           FROM ranked GROUP BY level, lang, source, ratio),
-        fences AS (
-          SELECT level, lang, source, ratio, total, q3 + CASE ratio {reach} END * greatest(q3 - q1, CASE ratio {floor} END) AS upper
-          FROM quartiles)
-        SELECT a.lang, a.source, a.ratio,
-               CASE WHEN a.total >= {MIN_GROUP} THEN a.upper WHEN b.total >= {MIN_GROUP} THEN b.upper ELSE c.upper END AS upper
-        FROM fences a JOIN fences b ON b.level = 1 AND a.lang <=> b.lang AND a.ratio = b.ratio
-             JOIN fences c ON c.level = 2 AND a.ratio = c.ratio
-        WHERE a.level = 0""")
+        held AS (
+          SELECT a.lang, a.source, a.ratio, {drawn("q1")}, {drawn("q2")}, {drawn("q3")}
+          FROM quartiles a JOIN quartiles b ON b.level = 1 AND a.lang <=> b.lang AND a.ratio = b.ratio
+               JOIN quartiles c ON c.level = 2 AND a.ratio = c.ratio
+          WHERE a.level = 0)
+        SELECT r.lang, r.source, r.ratio, r.q3 + {REACH} * ((r.q3 - r.q1) + 1 / d.q2) AS upper
+        FROM held r JOIN held d ON d.ratio = CASE r.ratio {shares} END AND r.lang <=> d.lang AND r.source <=> d.source""")
 
 
 def _verdicts(measured: DataFrame, f: str, fences: DataFrame, lang: str, source: str, failed: str, kept: str) -> DataFrame:

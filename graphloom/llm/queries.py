@@ -54,10 +54,11 @@ FROM r
 
 
 def _rules() -> str:
-    from graphloom.llm.quality_rules import GAMMA, MIN_GROUP, RATIOS, TINY
+    from graphloom.llm.quality_rules import GAMMA, PRIOR, RATIOS, REACH, TINY
 
-    reach = " ".join(f"WHEN '{k}' THEN {up}" for k, (up, _) in RATIOS.items())
-    floor = " ".join(f"WHEN '{k}' THEN {least}" for k, (_, least) in RATIOS.items())
+    shares = " ".join(f"WHEN '{k}' THEN '{d}'" for k, d in RATIOS.items())
+    value = lambda q: f"CASE WHEN b{q} = -99999 THEN 0 ELSE 2 * pow({GAMMA}, b{q}) / ({GAMMA} + 1) END AS q{q}"
+    drawn = lambda q: f"(a.total * a.q{q} + {PRIOR} * ((b.total * b.q{q} + {PRIOR} * z.q{q}) / (b.total + {PRIOR}))) / (a.total + {PRIOR}) AS q{q}"
     return rf"""
 WITH d AS (SELECT row_number() OVER () AS i, doc_id, lang, source, coalesce(text, '') AS text FROM documents),
 tok AS (SELECT i, unnest(regexp_extract_all(text, '{_WORD}')) AS w, generate_subscripts(regexp_extract_all(text, '{_WORD}'), 1) AS p FROM d),
@@ -75,17 +76,20 @@ f AS (SELECT d.i, doc_id, lang, source, len(regexp_extract_all(text, '{_WORD}'))
 v AS (SELECT i, n_words, lang, source, unnest(['symbol_ratio', 'dup_line_ratio', 'upper_ratio', 'bang_ratio']) AS ratio,
              unnest([CASE WHEN word_chars > 0 THEN n_symbols / word_chars ELSE 0 END, CASE WHEN n_lines > 0 THEN n_dup_lines / n_lines ELSE 0 END,
                      CASE WHEN word_chars > 0 THEN n_upper / word_chars ELSE 0 END, CASE WHEN word_chars > 0 THEN n_bang / word_chars ELSE 0 END]::DOUBLE[]) AS x FROM f),
-k AS (SELECT lang, source, ratio, CASE WHEN x < {TINY} THEN -99999 ELSE ceil(ln(x) / ln({GAMMA}))::INT END AS bucket, count(*) AS n FROM v WHERE n_words >= 10 GROUP BY ALL),
+y AS (SELECT n_words, lang, source, ratio, x FROM v
+      UNION ALL SELECT n_words, lang, source, unnest(['word_chars', 'n_lines']), unnest([word_chars, n_lines]::DOUBLE[]) FROM f),
+k AS (SELECT lang, source, ratio, CASE WHEN x < {TINY} THEN -99999 ELSE ceil(ln(x) / ln({GAMMA}))::INT END AS bucket, count(*) AS n FROM y WHERE n_words >= 10 GROUP BY ALL),
 m AS (SELECT 0 AS level, lang, source, ratio, bucket, n FROM k
       UNION ALL SELECT 1, lang, NULL, ratio, bucket, sum(n) FROM k GROUP BY lang, ratio, bucket
       UNION ALL SELECT 2, NULL, NULL, ratio, bucket, sum(n) FROM k GROUP BY ratio, bucket),
 c AS (SELECT *, sum(n) OVER (PARTITION BY level, lang, source, ratio ORDER BY bucket) AS cum, sum(n) OVER (PARTITION BY level, lang, source, ratio) AS total FROM m),
-q AS (SELECT level, lang, source, ratio, max(total) AS total, min(CASE WHEN cum >= 0.25 * total THEN bucket END) AS b1, min(CASE WHEN cum >= 0.75 * total THEN bucket END) AS b3
+q AS (SELECT level, lang, source, ratio, max(total) AS total, min(CASE WHEN cum >= 0.25 * total THEN bucket END) AS b1, min(CASE WHEN cum >= 0.5 * total THEN bucket END) AS b2, min(CASE WHEN cum >= 0.75 * total THEN bucket END) AS b3
       FROM c GROUP BY level, lang, source, ratio),
-e AS (SELECT *, CASE WHEN b1 = -99999 THEN 0 ELSE 2 * pow({GAMMA}, b1) / ({GAMMA} + 1) END AS q1, CASE WHEN b3 = -99999 THEN 0 ELSE 2 * pow({GAMMA}, b3) / ({GAMMA} + 1) END AS q3 FROM q),
-u AS (SELECT *, q3 + CASE ratio {reach} END * greatest(q3 - q1, CASE ratio {floor} END) AS upper FROM e),
-t AS (SELECT a.lang, a.source, a.ratio, CASE WHEN a.total >= {MIN_GROUP} THEN a.upper WHEN b.total >= {MIN_GROUP} THEN b.upper ELSE z.upper END AS upper
-      FROM u a JOIN u b ON b.level = 1 AND a.lang IS NOT DISTINCT FROM b.lang AND a.ratio = b.ratio JOIN u z ON z.level = 2 AND a.ratio = z.ratio WHERE a.level = 0),
+e AS (SELECT *, {value(1)}, {value(2)}, {value(3)} FROM q),
+u AS (SELECT a.lang, a.source, a.ratio, {drawn(1)}, {drawn(2)}, {drawn(3)}
+      FROM e a JOIN e b ON b.level = 1 AND a.lang IS NOT DISTINCT FROM b.lang AND a.ratio = b.ratio JOIN e z ON z.level = 2 AND a.ratio = z.ratio WHERE a.level = 0),
+t AS (SELECT r.lang, r.source, r.ratio, r.q3 + {REACH} * ((r.q3 - r.q1) + 1 / w.q2) AS upper
+      FROM u r JOIN u w ON w.ratio = CASE r.ratio {shares} END AND r.lang IS NOT DISTINCT FROM w.lang AND r.source IS NOT DISTINCT FROM w.source),
 bad AS (SELECT DISTINCT i FROM v JOIN t ON v.lang IS NOT DISTINCT FROM t.lang AND v.source IS NOT DISTINCT FROM t.source AND v.ratio = t.ratio WHERE x > upper)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
        NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND i NOT IN (SELECT i FROM bad) AS kept

@@ -21,9 +21,9 @@ ones emits from these, one with 0.3 or more from the rest: two partners always m
 differ by less. Equal sets are linked first and enter as one. Pairs under a key are dropped only by bounds that no pair at
 the least similarity can break (places of the first common key, sizes, differing bits of a parity bitmap) or if links
 join them already, and the rest are verified by their very shingles. So that groups of any make are linked cheaply,
-members are first compared with four centres of their key, those whose own keys have most members, as an original's have
-among its edited copies; the second and last round compares all pairs that are still apart, so no centre hides a link. No
-list is gathered.
+members are first compared with four centres of their key: those that hold most frequent shingles, then those whose keys
+have most members, as an original does among its edited copies. The second and last round compares all pairs that are
+still apart, so no centre hides a link. No list is gathered.
 
 Edge cases. Null text, empty text, text without words: fingerprint zero, linked like any other. One or two words: one
 shingle. Null ids: such documents get a component like others; a component of null ids only has a null id. Repeated
@@ -216,12 +216,18 @@ def shingle_hashes(words: tuple[bytes, np.ndarray], shingle: int = NEAR_SHINGLE)
     return np.unique(np.concatenate(found).view(np.int64))
 
 
-def first_keys(hashes: np.ndarray, frequent: np.ndarray, similarity: float = SIMILARITY, risk: float = RISK) -> tuple[np.ndarray, np.ndarray]:
-    """The shingles that a set emits, outside the frequent ones and among them: a partner shares one of either, but for risk."""
+def apart(hashes: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A set's shingles outside the frequent ones and among them."""
     late = np.zeros(len(hashes), bool)
     if len(frequent):  # not isin, which would sort all of frequent for each text
         late = frequent[np.minimum(np.searchsorted(frequent, hashes), len(frequent) - 1)] == hashes
-    missing = len(hashes) - math.ceil(similarity * len(hashes) - 1e-9)
+    return hashes[~late], hashes[late]
+
+
+def first_keys(rare: np.ndarray, often: np.ndarray, similarity: float = SIMILARITY, risk: float = RISK) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles of either kind that a set emits: a partner shares one of the first or one of the second, but for risk."""
+    n = len(rare) + len(often)
+    missing = n - math.ceil(similarity * n - 1e-9)
 
     def some(part: np.ndarray) -> np.ndarray:
         enough = missing + 1
@@ -229,8 +235,7 @@ def first_keys(hashes: np.ndarray, frequent: np.ndarray, similarity: float = SIM
             enough = min(enough, math.ceil(math.log(risk) / math.log(missing / len(part))))
         return part[:enough]
 
-    rare, often = hashes[~late], hashes[late]
-    return some(rare) if len(rare) >= MOSTLY_RARE * len(hashes) else rare[:0], some(often) if len(rare) < MOSTLY_OFTEN * len(hashes) else often[:0]
+    return some(rare) if len(rare) >= MOSTLY_RARE * n else rare[:0], some(often) if len(rare) < MOSTLY_OFTEN * n else often[:0]
 
 
 def bitmap(hashes: np.ndarray) -> list[int]:
@@ -259,17 +264,17 @@ def frequent_shingles(texts: DataFrame) -> np.ndarray:
 def near_pairs(shared: DataFrame, groups: DataFrame, centres: int | None, similarity: float, scratch: Scratch) -> DataFrame:
     """(x, y): pairs of a key, not of one group yet, that no bound keeps from ``similarity``.
 
-    shared: (k, r, i, n, pop, b0, b1, ...): keys of several sets, the key's place in the set, the set's size, how many
-    members its keys have, its bitmap; groups: (node, root). With centres, members are compared with so many of their key, else with each other.
+    shared: (k, r, i, n, share, pop, b0, b1, ...): keys of several sets, the key's place in the set, the set's size, its
+    share of frequent shingles, the members of a key of it on average, its bitmap; groups: (node, root). With centres, members are compared with so many of their key, else with each other.
     """
     known = scratch.keep(shared.join(groups.withColumnRenamed("node", "r"), "r", "left").withColumn("g", F.coalesce("root", "r")).drop("root"))
-    apart = scratch.side(known.groupBy("k").agg(F.min("g").alias("g0"), F.max("g").alias("g1")).where("g0 < g1").select("k"))
-    known = scratch.keep(known.join(apart, "k", "left_semi"))
+    several = scratch.side(known.groupBy("k").agg(F.min("g").alias("g0"), F.max("g").alias("g1")).where("g0 < g1").select("k"))
+    known = scratch.keep(known.join(several, "k", "left_semi"))
     other = known
     if centres:
         part = F.pmod(F.xxhash64("r"), F.lit(centres))
-        other = scratch.keep(known.groupBy("k", part.alias("part")).agg(F.max_by(F.struct(*own(known)), F.struct("pop", "r")).alias("c")).select("c.*"))
-    longs = [c for c in shared.columns if c.startswith("b")]
+        other = scratch.keep(known.groupBy("k", part.alias("part")).agg(F.max_by(F.struct(*own(known)), F.struct("share", "pop", "r")).alias("c")).select("c.*"))
+    longs = [f"b{j}" for j in range(BITMAP // 64)]
     x, y = (side.select("k", *[F.col(c).alias(f"{name}_{c}") for c in ("r", "g", "i", "n", *longs)]) for name, side in (("x", known), ("y", other)))
     both = F.col("x_n") + F.col("y_n")
     differ = sum((F.bit_count(F.col(f"x_{c}").bitwiseXOR(F.col(f"y_{c}"))) for c in longs), F.lit(0))
@@ -298,7 +303,7 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float, scratch: Scr
 def near_groups(nodes: DataFrame, texts: DataFrame, links: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(node, root): components of links (a, b) and of all pairs of nodes that share ``similarity`` of their shingles.
 
-    nodes: (r, sig, n, rare, often, bits), settled; texts: (node, text), one row per node.
+    nodes: (r, sig, n, common, rare, often, bits), settled; texts: (node, text), one row per node.
     """
     scratch = Scratch(nodes.sparkSession, "near")
     firsts = scratch.keep(nodes.groupBy("sig").agg(F.min("r").alias("lo")))
@@ -309,7 +314,9 @@ def near_groups(nodes: DataFrame, texts: DataFrame, links: DataFrame, similarity
     held = scratch.keep(reps.select("r", "n", F.explode(F.concat(placed("rare"), placed("often"))).alias("e")).select("e.k", "r", "e.i", "n"))
     several = scratch.side(held.groupBy("k").agg(F.count(F.lit(1)).alias("c")).where("c > 1"))
     held = scratch.keep(held.join(several, "k"))
-    told = held.groupBy("r").agg(F.sum("c").alias("pop")).join(nodes.select("r", *[F.col("bits")[j].alias(f"b{j}") for j in range(BITMAP // 64)]), "r")
+    emitted = F.size("rare") + F.size("often")
+    more = nodes.select("r", (F.col("common") / F.col("n")).alias("share"), emitted.alias("m"), *[F.col("bits")[j].alias(f"b{j}") for j in range(BITMAP // 64)])
+    told = held.groupBy("r").agg(F.sum("c").alias("cs")).join(more, "r").withColumn("pop", F.col("cs") / F.col("m")).drop("cs", "m")
     shared = scratch.keep(held.drop("c").join(told, "r"))
     for centres in ROUNDS:
         pairs = near_pairs(shared, groups, centres, similarity, scratch)
@@ -336,15 +343,16 @@ def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     texts = stored.select(F.col(node).alias("node"), F.col(text).alias("text"))
     frequent = frequent_shingles(texts)
 
-    @F.arrow_udf("struct<fp:bigint,sig:binary,n:int,rare:array<bigint>,often:array<bigint>,bits:array<bigint>>")
+    @F.arrow_udf("struct<fp:bigint,sig:binary,n:int,common:int,rare:array<bigint>,often:array<bigint>,bits:array<bigint>>")
     def told(found: pa.Array) -> pa.Array:
         rows = []
         for t in each(found):
             s = shingle_hashes(at := words_at(t))
-            rows.append((fingerprint(at), xxhash.xxh3_128_digest(s.tobytes()), len(s), *first_keys(s, frequent, similarity, risk), bitmap(s)))
+            kinds = apart(s, frequent)
+            rows.append((fingerprint(at), xxhash.xxh3_128_digest(s.tobytes()), len(s), len(kinds[1]), *first_keys(*kinds, similarity, risk), bitmap(s)))
         longs = pa.list_(pa.int64())
-        kinds = (pa.int64(), pa.binary(), pa.int32(), longs, longs, longs)
-        return pa.StructArray.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], names=["fp", "sig", "n", "rare", "often", "bits"])
+        types = (pa.int64(), pa.binary(), pa.int32(), pa.int32(), longs, longs, longs)
+        return pa.StructArray.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(types)], names=["fp", "sig", "n", "common", "rare", "often", "bits"])
 
     nodes = settle(stored.select(F.col(node).alias("r"), F.col(id_col).alias("id"), told(F.col(text).cast("binary")).alias("p")).select("r", "id", "p.*"))
     firsts = settle(nodes.groupBy("fp").agg(F.min("r").alias("lo")))

@@ -75,6 +75,32 @@ def test_rules_adapt_and_filter(spark, docs, none):
     assert quality_rules.filter_documents(none).count() == 0
 
 
+def test_rules_judge_equal_ratios_by_their_group(spark, tmp_path):
+    rng = random.Random(4)
+    word = lambda: rng.choice("abcdefghij") * rng.randint(2, 6) + rng.choice("klmnop") + str(rng.random())[2:5]
+
+    def say(signs):
+        words = [word() for _ in range(60)]
+        for _ in range(signs):
+            words[rng.randrange(60)] += "#"
+        return " ".join(words)
+
+    # code pages hold signs as a matter of course, letters none; then the same text in both
+    rows = [(i, say(rng.randint(5, 60)), "en", "code") for i in range(400)] + [(1000 + i, say(0), "en", "letters") for i in range(400)]
+    odd = say(40)
+    rows += [(5000, odd, "en", "code"), (5001, odd, "en", "letters"), (5002, odd, "en", "few"), *((6000 + i, say(0), "de", None) for i in range(3))]
+    both = frame(spark, rows)
+    got = {r.doc_id: r for r in quality_rules.judge(both).collect()}
+    assert got[5000].kept and not got[5001].kept and all(got[i].kept for i in [*range(400), *range(1000, 1400)])
+    assert got[6000].kept  # a small group follows what is merged
+    fences = quality_rules.thresholds(quality_rules.sketches(quality_rules.features(both, "f"), "f")).collect()
+    assert len({r.upper for r in fences if r.ratio == "symbol_ratio"}) == 4
+    both.write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    assert Counter((r[0], r[-1]) for r in con.sql(llm_queries.oracle_sql()["op1_quality_rules"]).fetchall()) == Counter((i, r.kept) for i, r in got.items())
+
+
 PATTERNS = [
     ("assign", re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A), 2, 6),
     ("access", re.compile(r"AKIA[A-Z0-9]+"), 0, 20),
@@ -299,7 +325,7 @@ def test_partners_meet_in_one_kind_of_key():
         gone, more = int(rng.random() * 0.1 * n), int(rng.random() * 0.1 * n)
         other = np.unique(np.concatenate([rng.permutation(base)[gone:], rng.integers(-(2**63), 2**63 - 1, more)]))
         if jaccard(set(base.tolist()), set(other.tolist())) >= 0.8:
-            a, b = (simhash_dedup.first_keys(s, np.sort(often)) for s in (base, other))
+            a, b = (simhash_dedup.first_keys(*simhash_dedup.apart(s, np.sort(often))) for s in (base, other))
             assert set(a[0].tolist()) & set(b[0].tolist()) or set(a[1].tolist()) & set(b[1].tolist())
 
 
@@ -312,7 +338,7 @@ def test_long_paths_and_hubs_are_one_component(spark):
     class Watched(scratch):
         def keep(self, df):
             out = super().keep(df)
-            plans.append(out._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+            plans.append(int(out._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
             return out
 
     simhash_dedup.Scratch = Watched
@@ -321,7 +347,7 @@ def test_long_paths_and_hubs_are_one_component(spark):
     finally:
         simhash_dedup.Scratch = scratch
     assert Counter(r.root for r in got) == {1: 3000, 10_000: 4000}
-    assert max(map(int, plans)) < 10**7  # estimates follow the tables, not the rounds
+    assert max(plans) < 10**7  # estimates follow the tables, not the rounds
 
 
 def test_links_lose_none(spark):
