@@ -2,14 +2,16 @@
 
 Items and documents are taken as words: letters A-Z lowered, ASCII punctuation as space. The document frequency of every
 3-word n-gram of the items is counted over the whole corpus. An item's seeds are its rare n-grams, and always the rarer
-half, so that an item that leaked often has seeds too. Seeds join documents to items; where two seeds of an item lie
-near one diagonal, the words around them are aligned to the item, words scored 2 for a match, -1 for a mismatch or a
-gap. A passage counts as a copy if its score reaches ``least`` of a perfect one, so edited and reworded copies count.
+half, so that an item that leaked often has seeds too. Seeds join documents to items; the words around seeds of an item
+near one diagonal are aligned to the item, words scored 2 for a match, -1 for a mismatch or a gap, unless the passage
+holds too few of the item's words for any alignment to do. A passage counts as a copy if its score reaches ``least`` of a
+perfect one, so edited and reworded copies count.
 
 The items go to the executors in blocks of bounded bytes; a larger benchmark makes more blocks, each one more pass.
 
-Edge cases. Null or empty texts on either side: no match. Items under MIN_ITEM words: never matched, as any document
-would hold them. Repeated items: each id is reported. Repeated documents: each row is judged. Null ids: reported as
+Edge cases. Null or empty texts on either side: no match. Items under MIN_ITEM words count as copied where a document
+holds all their words in a row; those of fewer than GRAM words only where it holds nothing else, as any document would
+hold them. Repeated items: each id is reported. Repeated documents: each row is judged. Null ids: reported as
 null. An empty corpus or benchmark: no match; the filter then keeps everything. Ties: the first best end is reported.
 Other columns: kept by ``filter_documents``, whatever their names.
 """
@@ -28,13 +30,14 @@ from graphloom.functions.shipping import ship
 from graphloom.llm._common import each, table
 
 GRAM = 3
+#: Items of fewer words are matched word for word.
 MIN_ITEM = 8
 #: Share of a perfect alignment's score from which a passage counts as a copy.
 LEAST = 0.5
 #: An n-gram is rare in up to this many documents, or this share of them.
 RARE, RARE_SHARE = 20, 1e-5
 #: Bytes of item texts in a block.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 16 << 20
 _TABLE = bytes(32 if chr(c) in string.punctuation else c for c in range(256))
 _FOUND = pa.list_(pa.struct([("item", pa.int32()), ("score", pa.float64()), ("first", pa.int64()), ("last", pa.int64())]))
 
@@ -64,13 +67,16 @@ class Block:
     def __init__(self, texts: list[bytes]) -> None:
         self.number: dict[bytes, int] = {}
         self.items: dict[int, np.ndarray] = {}
+        self.whole: dict[tuple[int, ...], list[int]] = {}
         for i, text in enumerate(texts):
-            words = words_of(text)
-            if len(words) >= MIN_ITEM:
-                self.items[i] = np.array([self.number.setdefault(w, len(self.number) + 1) for w in words], np.int64)
+            ids = [self.number.setdefault(w, len(self.number) + 1) for w in words_of(text)]
+            if len(ids) >= GRAM:
+                self.items[i] = np.array(ids, np.int64)
+            elif ids:
+                self.whole.setdefault(tuple(ids), []).append(i)
         self.base = len(self.number) + 1
-        grams = [(self.codes(ids)[1], i) for i, ids in self.items.items()]
-        self.grams = np.unique(np.concatenate([g for g, _ in grams])) if grams else np.zeros(0, np.int64)
+        grams = [self.codes(ids)[1] for ids in self.items.values()]
+        self.grams = np.unique(np.concatenate(grams)) if grams else np.zeros(0, np.int64)
 
     def codes(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places and codes of the n-grams whose words all occur in items."""
@@ -108,6 +114,8 @@ class Block:
     def matches(self, text: bytes | None, least: float) -> list[tuple[int, float, int, int]]:
         """(item, score, first word, last word) of each item's best copy in a whole text."""
         ids = self.numbers(text)
+        if 0 < len(ids) < GRAM:
+            return [(i, 1.0, 0, len(ids) - 1) for i in self.whole.get(tuple(ids.tolist()), ())]
         if len(ids) < GRAM or not len(self.seeds):
             return []
         at, codes = self.codes(ids)
@@ -128,11 +136,16 @@ class Block:
         best: dict[int, tuple[float, int, int]] = {}
         for s, e in zip(starts, [*starts[1:], len(item)], strict=True):
             i = int(item[s])
-            if len(set(place[s:e].tolist())) < 2:
-                continue
             words = self.items[i]
+            if len(words) < MIN_ITEM:
+                for d in np.unique(diagonal[s:e]).tolist():
+                    if d >= 0 and np.array_equal(ids[d : d + len(words)], words):
+                        best.setdefault(i, (1.0, d, d + len(words) - 1))
+                continue
             pad = len(words) // 2
             lo, hi = max(0, int(diagonal[s]) - pad), min(len(ids), int(diagonal[e - 1]) + len(words) + pad)
+            if len(set(place[s:e].tolist())) < 2 and 2 * np.isin(ids[lo:hi], words).sum() < least * 2 * len(words):
+                continue  # one seed, and fewer of the item's words around it than the least score takes
             score, end = align(words, ids[lo:hi])
             share = score / (2 * len(words))
             if share >= least and share > best.get(i, (0.0,))[0]:
@@ -142,15 +155,17 @@ class Block:
 
 
 def _blocks(docs: DataFrame, items: DataFrame, id_col: str, item_text: str, text: str):
-    """(block, broadcast block, item ids) for each block of items, with seeds by the whole corpus."""
+    """(broadcast block, (item, id) of its items) for each block of items, with seeds by the whole corpus."""
     spark = docs.sparkSession
     ship(spark)
-    items = items.select(F.col(id_col).alias("id"), F.col(item_text).alias("text")).where("text is not null")
+    kind = items.schema[id_col].dataType.simpleString()
+    items = items.select(F.col(id_col).alias("id"), F.col(item_text).alias("text")).where("text is not null").distinct()
     n = -(-(items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BLOCK_BYTES)
     for b in range(n):
-        held = sorted(items.where(F.pmod(F.xxhash64("id", "text"), F.lit(n)) == b).collect(), key=lambda r: (r.id is None, r.id, r.text))  # at most about BLOCK_BYTES
-        block = Block([r.text.encode() for r in held])
-        if not block.items:
+        held = items.where(F.pmod(F.xxhash64("text"), F.lit(n)) == b).collect()  # at most about BLOCK_BYTES
+        place = {t: i for i, t in enumerate(sorted({r.text for r in held}))}  # equal texts with other ids are one item here
+        block = Block([t.encode() for t in place])
+        if not block.items and not block.whole:
             continue
         sent = spark.sparkContext.broadcast(block)
 
@@ -172,7 +187,7 @@ def _blocks(docs: DataFrame, items: DataFrame, id_col: str, item_text: str, text
             else:
                 frequency[r.gram] = r.n
         block.choose(frequency, max(RARE, RARE_SHARE * rows))
-        yield spark.sparkContext.broadcast(block), [r.id for r in held]
+        yield spark.sparkContext.broadcast(block), spark.createDataFrame([(place[r.text], r.id) for r in held], f"item int, item_id {kind}")
 
 
 def _matcher(sent, least: float):
@@ -187,10 +202,9 @@ def _matcher(sent, least: float):
 def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", least: float = LEAST) -> DataFrame:
     """(doc_id, item_id, score, first_word, last_word): the best copy of each item in each document that has one."""
     out = None
-    for sent, ids in _blocks(docs, items, item_id, item_text, text):
-        found = docs.select(F.col(id_col).alias("doc_id"), F.explode(_matcher(sent, least)(F.col(text).cast("binary"))).alias("m"))
-        named = F.element_at(F.array(*[F.lit(i).cast(items.schema[item_id].dataType) for i in ids]), F.col("m.item") + 1)
-        part = found.select("doc_id", named.alias("item_id"), "m.score", F.col("m.first").alias("first_word"), F.col("m.last").alias("last_word"))
+    for sent, named in _blocks(docs, items, item_id, item_text, text):
+        found = docs.select(F.col(id_col).alias("doc_id"), F.explode(_matcher(sent, least)(F.col(text).cast("binary"))).alias("m")).select("doc_id", "m.*")
+        part = found.join(F.broadcast(named), "item").select("doc_id", "item_id", "score", F.col("first").alias("first_word"), F.col("last").alias("last_word"))  # a block's items: bounded
         out = part if out is None else out.unionByName(part)
     if out is None:
         out = docs.select(F.col(id_col).alias("doc_id"), F.lit(None).cast(items.schema[item_id].dataType).alias("item_id"), F.lit(0.0).alias("score"), F.lit(0).cast("long").alias("first_word"), F.lit(0).cast("long").alias("last_word")).where("false")

@@ -98,7 +98,7 @@ FROM f
 
 
 def _secrets() -> str:
-    from graphloom.llm.secret_scan import KINDS, WIDE
+    from graphloom.llm.secret_scan import KINDS, WIDE, WIDE_REPOS
 
     def matches(order: int, kind: str) -> str:
         pattern, group, least = KINDS[kind]
@@ -122,12 +122,14 @@ base AS ({base}),
 open AS (SELECT * FROM ({matches(order, "opaque")}) o WHERE regexp_matches(val, '[a-z]') AND regexp_matches(val, '[A-Z]') AND regexp_matches(val, '[0-9]')
          AND NOT EXISTS (SELECT 1 FROM base b WHERE b.i = o.i AND b.start < o.stop AND o.start < b.stop)),
 every AS (SELECT * FROM base UNION ALL SELECT * FROM open),
-owned AS (SELECT val, count(DISTINCT coalesce(source, chr(0))) AS owners FROM every JOIN d USING (i) GROUP BY val),
-kept AS (SELECT every.*, owners < {WIDE} AS live FROM every JOIN owned USING (val) WHERE kind <> 'opaque' OR owners < {WIDE}),
+-- a repository, here a document, counts once for each owner
+owned AS (SELECT val, count(DISTINCT coalesce(source, chr(0))) AS owners, count(DISTINCT (coalesce(source, chr(0)), coalesce(doc_id::VARCHAR, chr(0)))) AS repos FROM every JOIN d USING (i) GROUP BY val),
+judged AS (SELECT every.*, owners, repos, owners < {WIDE} AND repos < {WIDE_REPOS} AS live FROM every JOIN owned USING (val)),
+kept AS (SELECT * FROM judged WHERE kind <> 'opaque' OR live),
 g AS (SELECT i, {one("assign")} AS n_assign, {one("access")} AS n_access, {one("hex")} AS n_hex, string_agg({said}) FILTER (WHERE kind <> 'opaque') AS base, string_agg({said}) AS spans,
-             count(*) FILTER (WHERE live) AS n_live, count(*) FILTER (WHERE NOT live) AS n_example FROM kept GROUP BY i)
+             count(*) FILTER (WHERE live) AS n_live, count(*) FILTER (WHERE NOT live) AS n_example, max(owners) AS max_owners, max(repos) AS max_repos FROM kept GROUP BY i)
 SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans,
-       coalesce(n_live, 0) AS n_live, coalesce(n_example, 0) AS n_example FROM d LEFT JOIN g USING (i)
+       coalesce(n_live, 0) AS n_live, coalesce(n_example, 0) AS n_example, coalesce(max_owners, 0) AS max_owners, coalesce(max_repos, 0) AS max_repos FROM d LEFT JOIN g USING (i)
 """
 
 

@@ -2,10 +2,12 @@
 
 Regular expressions find candidates of three fixed kinds and of one open kind (``opaque``: long runs of key characters
 with letters of both cases and digits). Their values' hashes are counted over the corpus by distinct repository and
-owner. A value that many owners hold is a copied example; one that an owner or two hold looks live. Opaque candidates
-become findings only if they look live; the fixed kinds stay either way and are counted as one or the other.
+owner. A value that many owners or many repositories hold is a copied example; one that an owner or two hold in a few
+places looks live. Opaque candidates become findings only if they look live; the fixed kinds stay either way and are
+counted as one or the other.
 
-All of it is DataFrame functions. Positions come from the lengths of the pieces between the matches of one pattern.
+All of it is DataFrame functions. Positions come from the lengths of the pieces between the matches of one pattern,
+summed run by run of RUN matches, so that their cost stays near their number.
 The counts are made in three groupings, each partial before its shuffle, so that a value in a third of all rows costs
 each task one row; verdicts come back in a join whose large partitions Spark splits.
 
@@ -30,18 +32,21 @@ KINDS = {
 }
 #: What a text must hold for a kind's positions to be worked out.
 GATES = {"assign": KINDS["assign"][0], "access": "AKIA[A-Z0-9]{16}", "hex": "[0-9a-f]{24}", "opaque": "[A-Za-z0-9+/_=-]{24}"}
-#: Owners from which a value counts as a copied example.
-WIDE = 3
+#: Owners, and repositories, from which a value counts as a copied example.
+WIDE, WIDE_REPOS = 3, 20
+#: Matches whose positions are summed at once.
+RUN = 128
 
 
 def _spans(text: Column, kind: str) -> Column:
     """Array of (start, stop, order, kind, value) of a kind's matches, positions in code points."""
     pattern, group, least = KINDS[kind]
     order = list(KINDS).index(kind)
+    span_type = "struct<start:int,stop:int,ord:int,kind:string,value:string>"
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     # a match and the gap before it; the gap after the last match is not needed
     pieces = F.arrays_zip(found.alias("whole"), F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias("value"), F.slice(F.split(text, pattern), 1, F.size(found)).alias("gap"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,stop:int,ord:int,kind:string,value:string>>").alias("out"))
+    empty = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{span_type}>").alias("out"))
 
     def add(state: Column, p: Column) -> Column:
         begin = state["at"] + F.length(p["gap"])
@@ -49,8 +54,18 @@ def _spans(text: Column, kind: str) -> Column:
         span = F.struct(begin.alias("start"), end.alias("stop"), F.lit(order).alias("ord"), F.lit(kind).alias("kind"), p["value"].alias("value"))
         return F.struct(end.alias("at"), F.when(F.length(p["value"]) >= least, F.concat(state["out"], F.array(span))).otherwise(state["out"]).alias("out"))
 
-    none = F.array().cast("array<struct<start:int,stop:int,ord:int,kind:string,value:string>>")
-    return F.when(text.rlike(GATES[kind]), F.aggregate(pieces, start, add, lambda s: s["out"])).otherwise(none)
+    def runs(all_pieces: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(all_pieces) - 1) / RUN).cast("int")), lambda c: F.aggregate(F.slice(all_pieces, c * RUN + 1, RUN), empty, add))
+
+    def join(state: Column, run: Column) -> Column:
+        at = state["at"]
+        moved = F.transform(run["out"], lambda x: F.struct((x["start"] + at).alias("start"), (x["stop"] + at).alias("stop"), x["ord"].alias("ord"), x["kind"].alias("kind"), x["value"].alias("value")))
+        return F.struct((at + run["at"]).alias("at"), F.concat(state["out"], F.array(moved)).alias("out"))
+
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<array<{span_type}>>").alias("out"))
+    # as a variable, else each run would search the whole text anew
+    whole = F.transform(F.array(pieces), lambda found: F.aggregate(runs(found), start, join, lambda x: F.flatten(x["out"])))[0]
+    return F.when(text.rlike(GATES[kind]), whole).otherwise(F.array().cast(f"array<{span_type}>"))
 
 
 def candidates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", repo: str = "doc_id", owner: str = "source") -> DataFrame:
@@ -79,7 +94,7 @@ def findings(found: DataFrame) -> DataFrame:
     """One row per finding: (row, doc_id, start, stop, ord, kind, value, owners, repos, live)."""
     some = found.where((F.size("base") > 0) | (F.size("extra") > 0))
     each = some.select("row", "doc_id", F.explode(F.concat("base", "extra")).alias("s")).select("row", "doc_id", "s.*").withColumn("value_hash", F.sha2("value", 256))
-    judged = each.join(ownership(found), "value_hash").withColumn("live", F.col("owners") < WIDE)
+    judged = each.join(ownership(found), "value_hash").withColumn("live", (F.col("owners") < WIDE) & (F.col("repos") < WIDE_REPOS))
     return judged.where((F.col("kind") != "opaque") | F.col("live")).drop("value_hash")
 
 
@@ -97,4 +112,7 @@ def query(spark, sf_dir: str) -> DataFrame:
     said = lambda a: F.array_join(F.transform(a, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["stop"].cast("string"))), ",")
     base = F.filter("spans", lambda s: s["kind"] != "opaque")
     count = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
-    return scanned.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(said(base), 256).alias("base_sha256"), said("spans").alias("spans"), "n_live", "n_example")
+    most = lambda k: F.coalesce(F.array_max(F.transform("spans", lambda s: s[k])), F.lit(0)).alias(f"max_{k}")
+    return scanned.select(
+        "doc_id", count("assign"), count("access"), count("hex"), F.sha2(said(base), 256).alias("base_sha256"), said("spans").alias("spans"), "n_live", "n_example",
+        most("owners"), most("repos"))

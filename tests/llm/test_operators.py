@@ -130,11 +130,20 @@ def test_secret_spans(spark, docs, none, tmp_path):
 def test_secret_ownership(spark):
     key, own = "aB3" * 10, "xY7" * 10
     rows = [(i, f"k {key} {'example' * (i % 2)}", "en", f"s{i}") for i in range(5)] + [(10, f"mine {own}", "en", "s1")] + [(20 + i, "token=copied12", "en", f"s{i}") for i in range(4)]
+    rows += [(100 + i, f"token=template{i % 2}", "en", "s1" if i % 2 else f"s{i % 4}") for i in range(60)]  # many repositories of one owner, and of two
     got = {r.doc_id: r for r in secret_scan.scan(frame(spark, rows)).collect()}
+    assert got[101].n_example == 1 and (got[101].spans[0].owners, got[101].spans[0].repos) == (1, 30) and got[100].n_example == 1
     assert not got[0].spans and [s.kind for s in got[10].spans] == ["opaque"] and got[10].n_live == 1
     assert got[20].n_example == 1 and got[20].spans[0].owners == 4
 
 
+def test_secrets_of_a_text_with_very_many(spark, tmp_path):
+    text = " ".join(f"token=a{i}bcdefg {'x' * (i % 7)}" for i in range(30_000))
+    frame(spark, [(1, text, "en", "a")]).write.parquet(str(tmp_path / "documents.parquet"))
+    (got,) = secret_scan.query(spark, str(tmp_path)).collect()
+    assert got.n_assign == 30_000 and got.base_sha256 == hashlib.sha256(",".join(base_spans(text)).encode()).hexdigest()
+
+
 def test_mix(docs, none):
     got = mix_sources.assign(docs).collect()
     sizes = Counter()
@@ -383,6 +392,11 @@ def test_decontamination(spark, docs, none):
     assert set(got) == {(1, 0), (2, 0), (5, 0), (5, 1), (5, 9), (None, 0)}
     assert got[1, 0].score == 1 and (got[1, 0].first_word, got[1, 0].last_word) == (200, 218)
     assert got[2, 0].score == (2 * 16 - 3) / 38
+    # short items: word for word, those of one or two words only by themselves
+    short = spark.createDataFrame([(20, "short one"), (21, "seven green birds watch"), (22, "Dog!"), (23, "short one")], "item_id long, text string")
+    more = frame(spark, [(30, "a short one here", "en", "a"), (31, "Short, one", "en", "a"), (32, ITEMS[0], "en", "a"), (33, "seven green big birds watch", "en", "a"), (34, "dog", "en", "a"), (35, "birds, seven green birds watch", "en", "a")])
+    found = {(r.doc_id, r.item_id): (r.score, r.first_word, r.last_word) for r in decontaminate.contaminated(more, short).collect()}
+    assert found == {(31, 20): (1, 0, 1), (31, 23): (1, 0, 1), (32, 21): (1, 10, 13), (34, 22): (1, 0, 0), (35, 21): (1, 1, 4)}
     kept = decontaminate.filter_documents(both, items)
     assert kept.columns == both.columns and sorted(r.doc_id for r in kept.collect()) == [3, 4, 6, 7]
     assert decontaminate.contaminated(none, items).count() == 0 and decontaminate.filter_documents(docs, items.limit(0)).count() == docs.count()
