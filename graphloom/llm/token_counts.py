@@ -13,6 +13,9 @@ all scores are whole numbers (sums are then exact in any order) parts are also s
 The vocabulary is a parameter: a SentencePiece model file (pieces and stored scores are read as unigram log
 probabilities) or a list of (piece, score).
 
+Only as many places as the longest piece has are carried, so a text without spaces needs no more memory than any other;
+texts are cut into parts STRETCH characters at a time.
+
 Edge cases. Null text: null count as no text, 0. Empty text: 0. Repeated rows: each is counted. Very long texts are
 counted part by part. Empty tables give empty results. Only the named columns are read.
 """
@@ -34,8 +37,10 @@ VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: An unknown character's score is this much below the lowest piece's.
 UNKNOWN = 10.0
-#: Parts whose counts a worker keeps; beyond, its table starts anew.
-KEPT = 1_000_000
+#: Characters of parts, with ENTRY for each, whose counts a worker keeps; beyond, its table starts anew.
+KEPT, ENTRY = 128 << 20, 100
+#: Places that are carried besides the longest piece's before the oldest are dropped; characters cut into parts at once.
+TRIM, STRETCH = 4096, 1 << 20
 
 
 def read_vocabulary(path: str) -> list[tuple[str, float]]:
@@ -55,49 +60,69 @@ class Counter(dict):
             if piece:
                 self.automaton.add_word(piece, (len(piece), score))
         self.automaton.make_automaton()
+        self.longest, self.weight = max(map(len, self.pieces), default=1), 0
         self.unknown = min(score for _, score in vocabulary) - UNKNOWN
         self.bytes = byte_fallback and all(f"<0x{b:02X}>" in self.pieces for b in range(256))
         self.by_line = self.bytes and not any("\n" in p for p in self.pieces) and all(float(s).is_integer() for s in self.pieces.values())
 
     def __missing__(self, part: str) -> int:
-        if len(self) >= KEPT:
+        self.weight += len(part) + ENTRY
+        if self.weight > KEPT:
             self.clear()
+            self.weight = 0
         n = self.count(part)
-        self[part] = n
+        if len(part) < TRIM:  # longer ones hardly recur
+            self[part] = n
         return n
 
     def count(self, part: str) -> int:
         """Pieces on the best way through one part."""
-        size = len(part)
-        score, pieces, run = [-math.inf] * (size + 1), [0] * (size + 1), [False] * (size + 1)
-        score[0] = 0.0
-        at: list[list] = [[] for _ in range(size)]
-        for end, match in self.automaton.iter(part):
-            at[end].append(match)
-        for end in range(size):
-            found, start_of = at[end], end
+        score, pieces, run = [0.0], [0], [False]  # by place, from the part's place ``base``
+        base, matches = 0, self.automaton.iter(part)
+        ahead = next(matches, None)
+        for end in range(len(part)):
+            found = []
+            while ahead and ahead[0] == end:
+                found.append(ahead[1])
+                ahead = next(matches, None)
+            at = end - base
             best, way, single = -math.inf, -1, False
             for length, value in sorted(found, reverse=True):  # the piece that begins first comes first
-                s = score[end + 1 - length] + value
+                s = score[at + 1 - length] + value
                 if s > best:
-                    best, way = s, end + 1 - length
+                    best, way = s, at + 1 - length
                 single = single or length == 1
-            if not single and score[start_of] + self.unknown > best:
-                score[end + 1] = score[start_of] + self.unknown
-                run[end + 1] = True
-                pieces[end + 1] = pieces[start_of] + (len(part[end].encode()) if self.bytes else not run[start_of])
+            if not single and score[at] + self.unknown > best:
+                best = score[at] + self.unknown
+                pieces.append(pieces[at] + (len(part[end].encode()) if self.bytes else not run[at]))
+                run.append(True)
             else:
-                score[end + 1], pieces[end + 1] = best, pieces[way] + 1
-        return pieces[size]
+                pieces.append(pieces[way] + 1)
+                run.append(False)
+            score.append(best)
+            if len(score) > TRIM + self.longest:
+                for held in (score, pieces, run):
+                    del held[:TRIM]
+                base += TRIM
+        return pieces[-1]
 
     def of(self, text: str | None) -> int:
         """Tokens of a whole text."""
         if not text:
             return 0
-        marked = text.replace(" ", MARK)
-        parts = marked.split(MARK)
-        if marked[0] == MARK:
-            del parts[0]
+        total, at, first = 0, 0, True
+        while at <= len(text):
+            cut = text.find(" ", at + STRETCH)
+            cut = len(text) if cut < 0 else cut
+            marked = text[at:cut].replace(" ", MARK)
+            parts = marked.split(MARK)
+            if first and marked[:1] == MARK:
+                del parts[0]
+            total += self.sum(parts)
+            at, first = cut + 1, False
+        return total
+
+    def sum(self, parts: list[str]) -> int:
         if not self.by_line:
             return sum(self[MARK + p] for p in parts)
         total = 0

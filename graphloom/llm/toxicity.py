@@ -10,7 +10,8 @@ sums of exact, stem, misspelled and quoted hits into a score.
 
 Edge cases. Null or empty text: no hits; the score of a text without hits. No labelled rows, or of one kind: an empty
 lexicon; every score is that kind's smoothed share. Repeated rows: equal scores. Null ids: scored, never learned from.
-Very long texts are read whole; tables of words seen are bounded and start anew. Empty tables give empty results. Only
+Very long texts are read whole, each line's quotation marks once; tables of words seen are bounded in bytes and start
+anew. Empty tables give empty results. Only
 the named columns are read.
 """
 
@@ -19,6 +20,8 @@ from __future__ import annotations
 import math
 import re
 import string
+from collections import Counter
+from collections.abc import Iterator
 from zlib import crc32
 
 import numpy as np
@@ -34,17 +37,15 @@ TRAIN_ROWS = 6000
 #: Different contexts in toxic documents that a term needs, and its least share of toxic ones, for words and for stems of STEM bytes.
 MIN_WORD, MIN_STEM, PURE_WORD, PURE_STEM = 5, 8, 0.95, 0.9
 STEM = (5, 6, 7, 8)
-#: Terms that are kept at most, those of most documents first.
-MAX_TERMS = 2000
-#: Terms from this length are matched within one edit.
-FUZZY = 5
+#: Terms from so many bytes and code points are matched within one edit.
+FUZZY, FUZZY_POINTS = 5, 3
 #: Part of an exact hit that a misspelled term counts as.
 TRUST = 0.7
 #: Words around a hit that are its context.
 CONTEXT = 4
 REPORTING = frozenset(b"said says quote quoted quotes wrote writes called reported".split())
-#: Words whose class a worker keeps; beyond, its table starts anew.
-KEPT = 500_000
+#: Bytes of words, with ENTRY for each, whose class a worker keeps; beyond, its table starts anew.
+KEPT, ENTRY = 64 << 20, 100
 EXACT, ROOT, EDITED = 1, 2, 3
 _TABLE = bytes(32 if chr(c) in string.punctuation else c for c in range(256))
 _TOKEN = re.compile(rb"[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")
@@ -56,18 +57,18 @@ def words_of(text: bytes | None) -> list[bytes]:
 
 
 def trie(terms: list[bytes]) -> dict:
-    """Nested dicts by code point; END marks a whole term."""
+    """Nested dicts by code point; END holds a whole term."""
     root: dict = {}
     for term in terms:
         node = root
         for c in term.decode("utf-8", "replace"):
             node = node.setdefault(c, {})
-        node[END] = True
+        node[END] = term
     return root
 
 
-def within(root: dict, word: str, edits: int = 1) -> bool:
-    """Is any term of the trie within so many edits of word? Trie and automaton are walked together."""
+def near(root: dict, word: str, edits: int = 1) -> Iterator[bytes]:
+    """The terms of the trie within so many edits of word. Trie and automaton are walked together."""
 
     def closed(states: dict[int, int]) -> dict[int, int]:
         for place in sorted(states):  # a letter of the word left out
@@ -83,7 +84,7 @@ def within(root: dict, word: str, edits: int = 1) -> bool:
     while stack:
         node, states = stack.pop()
         if END in node and len(word) in states:
-            return True
+            yield node[END]
         for c, below in node.items():
             if c == END:
                 continue
@@ -97,7 +98,11 @@ def within(root: dict, word: str, edits: int = 1) -> bool:
                         new[place + 1] = min(new.get(place + 1, e + 1), e + 1)
             if new:
                 stack.append((below, closed(new)))
-    return False
+
+
+def within(root: dict, word: str, edits: int = 1) -> bool:
+    """Is any term of the trie within so many edits of word?"""
+    return next(near(root, word, edits), None) is not None
 
 
 class Lexicon(dict):
@@ -105,33 +110,54 @@ class Lexicon(dict):
 
     def __init__(self, words: list[bytes], stems: list[bytes], clean: frozenset[bytes] = frozenset(), crowded: frozenset[bytes] = frozenset()) -> None:
         self.terms, self.stems, self.clean = frozenset(words), frozenset(stems), clean
-        long = [w for w in words if len(w) >= FUZZY and w not in crowded]
-        self.root = trie(long)
-        # one edit leaves a term's first or last two bytes in place
+        long = [w for w in words if len(w) >= FUZZY and len(w.decode("utf-8", "replace")) >= FUZZY_POINTS and w not in crowded]
+        self.root, self.weight = trie(long), 0
+        # one edit leaves a term's first or last code point and its bytes in place
         self.ends = frozenset(w[:2] for w in long), frozenset(w[-2:] for w in long)
-        self.sizes = range(min(map(len, long), default=1) - 1, max(map(len, long), default=0) + 3)
+        points = [len(w.decode("utf-8", "replace")) for w in long]
+        self.sizes = range(min(points, default=1) - 1, max(points, default=-1) + 2)
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= KEPT:
+        self.weight += len(word) + ENTRY
+        if self.weight > KEPT:
             self.clear()
+            self.weight = 0
         kind = 0
         if word in self.terms:
             kind = EXACT
         elif any(word[:n] in self.stems for n in STEM):
             kind = ROOT
-        elif len(word) in self.sizes and (word[:2] in self.ends[0] or word[-2:] in self.ends[1]) and word not in self.clean and within(self.root, word.decode("utf-8", "replace")):
-            kind = EDITED
+        elif (word[:2] in self.ends[0] or word[-2:] in self.ends[1]) and word not in self.clean:
+            said = word.decode("utf-8", "replace")
+            if len(said) in self.sizes and within(self.root, said):
+                kind = EDITED
         self[word] = kind
         return kind
 
 
-def quoted(text: bytes, begin: int, stop: int, before: list[bytes]) -> bool:
-    """Does the hit at begin:stop stand in a quotation?"""
-    line = text[text.rfind(b"\n", 0, begin) + 1 : begin]
-    tail = text[stop : (text.find(b"\n", stop) + 1 or len(text) + 1) - 1]
-    if line.lstrip().startswith(b">") or not REPORTING.isdisjoint(before):
-        return True
-    return any((line.count(a) - (line.count(b) if a != b else 0)) % (2 if a == b else 1 << 30) > 0 and b in tail for a, b in ((b'"', b'"'), ("“".encode(), "”".encode()), ("«".encode(), "»".encode())))
+class Quotations:
+    """Whether places of a text, asked in their order, stand in a quotation; each line is read once."""
+
+    MARKS = tuple((a.encode(), b.encode()) for a, b in (('"', '"'), ("“", "”"), ("«", "»")))
+
+    def __init__(self, text: bytes) -> None:
+        self.text, self.end = text, -1
+
+    def holds(self, begin: int, stop: int) -> bool:
+        """Is begin:stop on a quoted line, or between marks?"""
+        text = self.text
+        if begin > self.end:
+            self.at = start = text.rfind(b"\n", max(self.end, 0), begin) + 1
+            self.end = text.find(b"\n", stop)
+            self.end = len(text) if self.end < 0 else self.end
+            self.cited = re.compile(rb"\s*>").match(text, start, self.end) is not None
+            self.open = [0] * len(self.MARKS)
+            self.last = [text.rfind(b, start, self.end) for _, b in self.MARKS]
+        for k, (a, b) in enumerate(self.MARKS):
+            if self.last[k] >= 0:
+                self.open[k] += text.count(a, self.at, begin) - (text.count(b, self.at, begin) if a != b else 0)
+        self.at = begin
+        return self.cited or any(last >= stop and (n % 2 == 1 if a == b else n > 0) for (a, b), n, last in zip(self.MARKS, self.open, self.last, strict=True))
 
 
 def features(text: bytes | None, lexicon: Lexicon) -> tuple[float, ...]:
@@ -142,12 +168,12 @@ def features(text: bytes | None, lexicon: Lexicon) -> tuple[float, ...]:
         return (0.0,) * 5
     sums = [0.0] * 4
     before: list[bytes] = []
+    quotations = Quotations(text)
     for m in _TOKEN.finditer(text.lower()):
-        word = m[0]
-        for w in word.split():
-            if kind := lexicon[w]:
-                sums[3 if quoted(text, m.start(), m.end(), before) else kind - 1] += 1
-            before = [*before[-CONTEXT + 1 :], w]
+        if kind := lexicon[m[0]]:
+            inside = quotations.holds(m.start(), m.end()) or not REPORTING.isdisjoint(before)
+            sums[3 if inside else kind - 1] += 1
+        before = [*before[-CONTEXT + 1 :], m[0]]
     # a sample may hold no misspelling: one counts as a part of a hit besides what its own weight says
     sums[0] += TRUST * sums[2]
     return (*(math.log1p(s) for s in sums), 10 * (sums[0] + sums[1]) / len(words))
@@ -178,7 +204,7 @@ def learn(sample: DataFrame) -> tuple[list[bytes], list[bytes], frozenset[bytes]
         .groupBy("term", "stem").agg(F.sum("toxic").alias("toxic"), F.count(F.lit(1)).alias("n"))
     )
     pure = counted.where(F.when(F.col("stem"), (F.col("toxic") >= MIN_STEM) & (F.col("toxic") >= PURE_STEM * F.col("n"))).otherwise((F.col("toxic") >= MIN_WORD) & (F.col("toxic") >= PURE_WORD * F.col("n"))))
-    found = pure.orderBy(F.desc("toxic"), "stem", "term").limit(MAX_TERMS).collect()  # the model: bounded
+    found = pure.orderBy(F.desc("toxic"), "stem", "term").collect()  # the model: bounded by the sample
     stems = sorted({bytes(r.term) for r in found if r.stem}, key=len)
     roots: list[bytes] = []
     for s in stems:
@@ -195,7 +221,8 @@ def learn(sample: DataFrame) -> tuple[list[bytes], list[bytes], frozenset[bytes]
     near = counted.where(~F.col("stem") & (F.col("toxic") < 0.5 * F.col("n"))).select("term").mapInArrow(close, "term binary").collect()  # sample words within an edit of a term
     clean = frozenset(bytes(r.term) for r in near)
     # a term with several clean neighbours says nothing when it is misspelled
-    crowded = frozenset(w for w in words if sum(within(trie([w]), c.decode("utf-8", "replace")) for c in clean) >= 2)
+    close_by = Counter(term for c in clean for term in set(near(lexicon.root, c.decode("utf-8", "replace"))))
+    crowded = frozenset(term for term, n in close_by.items() if n >= 2)
     return words, roots, clean, crowded
 
 

@@ -473,6 +473,33 @@ def test_toxicity_misspelling_and_quotation(spark):
     assert toxicity.features(b"> wormface\nno", lexicon)[3] > 0 and toxicity.features(b"he said wormface", lexicon)[3] > 0
 
 
+def test_misspellings_beyond_ascii():
+    lexicon = toxicity.Lexicon([w.encode() for w in ("дурак", "傻瓜蛋", "wormface")], [])
+    for term in ("дурак", "傻瓜蛋", "wormface"):
+        for i in range(len(term)):  # a letter left out, another in its place, one more
+            for said in (term[:i] + term[i + 1 :], term[:i] + "ж" + term[i + 1 :], term[:i] + "猫" + term[i:]):
+                assert lexicon[said.encode()] == toxicity.EDITED, said
+    assert not any(lexicon[w.encode()] for w in ("дождь", "大象", "дурачок", "wo"))
+
+
+def test_quotations_of_a_very_long_line():
+    lexicon = toxicity.Lexicon([b"wormface"], [])
+    text = ("aa wormface " * 40_000 + '"' + "b wormface " * 40_000 + '" c wormface\n> wormface\nwormface').encode()
+    sums = toxicity.features(text, lexicon)
+    assert sums[0] == pytest.approx(np.log1p(40_002)) and sums[3] == pytest.approx(np.log1p(40_001))
+    plain = lambda t: [(m.start(), m.end()) for m in re.finditer(rb"wormface", t)]
+    rng = random.Random(3)
+    for _ in range(300):
+        said = "".join(rng.choice(['"', "“", "”", "«", "»", " wormface ", "\n", "x", "> "]) for _ in range(25)).encode()
+        asked = toxicity.Quotations(said)
+        for begin, stop in plain(said):
+            line = said[said.rfind(b"\n", 0, begin) + 1 : begin]
+            tail = said[stop:].split(b"\n")[0]
+            want = line.lstrip().startswith(b">") or (line.count(b'"') % 2 == 1 and b'"' in tail)
+            want = want or any(line.count(a.encode()) > line.count(b.encode()) and b.encode() in tail for a, b in ("“”", "«»"))
+            assert asked.holds(begin, stop) == want, said
+
+
 def test_automaton_against_edit_distance():
     def distance(a, b):
         row = list(range(len(b) + 1))
@@ -531,6 +558,27 @@ def test_token_counts_with_ties(byte_fallback):
             assert counter.of(text) == len(tokenizer.encode(text, add_special_tokens=False).ids), (vocabulary, text)
 
 
+def test_token_counts_of_texts_without_spaces():
+    import tracemalloc
+
+    vocabulary = [("<unk>", 0.0), ("a", -1.0), ("ab", -1.5), ("abc", -1.7), ("b", -2.0), ("▁", -0.5)]
+    counter, tokenizer = token_counts.Counter(vocabulary, False), unigram(vocabulary, False)
+    rng = random.Random(2)
+    text = "".join(rng.choices("abcd", k=60_000))
+    assert counter.of(text) == len(tokenizer.encode(text, add_special_tokens=False).ids)
+    spaced = " ".join(text[i : i + 7] for i in range(0, 700, 7)) + "  x "
+    whole = counter.of(spaced)
+    token_counts.STRETCH, kept = 10, token_counts.STRETCH
+    try:
+        assert token_counts.Counter(vocabulary, False).of(spaced) == whole == len(tokenizer.encode(spaced, add_special_tokens=False).ids)
+    finally:
+        token_counts.STRETCH = kept
+    tracemalloc.start()
+    counter.of(text * 10)
+    assert tracemalloc.get_traced_memory()[1] < 16 << 20
+    tracemalloc.stop()
+
+
 def test_shards(docs, none):
     rows = awkward()
     got = histogram_shards.assign(docs, shards=6).collect()
