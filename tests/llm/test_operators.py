@@ -655,3 +655,78 @@ def test_deep_thread(spark):
     rows = [(1, t, "user", (f"> line number {t - 1}\n" if t else "") + f"line number {t}") for t in range(70)]
     got = {r.turn: (r.reply_to, r.root_turn, r.depth) for r in quote_linking.link_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
     assert got == {t: (t - 1 if t else None, 0, t) for t in range(70)}
+
+
+def say_again(rng, words, level):
+    """Words as a quote of a level, wrapped at a width of its own."""
+    width, out = rng.randint(3, 9), []
+    for i in range(0, len(words), width):
+        out.append(">" * level + " " + " ".join(words[i : i + width]))
+    return out
+
+
+def test_quote_linking_against_plain_search(spark):
+    rng = random.Random(17)
+    vocab = [f"w{i}" for i in range(60)]
+    rows = []
+    for conv in range(25):
+        said = []
+        for t in range(8):
+            own = [rng.choices(vocab, k=rng.randint(1, 12)) for _ in range(rng.randint(1, 3))]
+            lines = []
+            for _ in range(rng.randint(0, 3) if said else 0):
+                words = [w for line in rng.choice(said) for w in line]
+                i = rng.randrange(len(words))
+                part = words[i : i + rng.randint(2, 14)]
+                if rng.random() < 0.3:
+                    part = [w.upper() for w in part]
+                lines += ["On Friday, X wrote:"] * (rng.random() < 0.3) + say_again(rng, part, rng.randint(1, 3))
+            rows.append((conv, t, "user", "\n".join([*lines, *(" ".join(x) for x in own)])))
+            said.append(own)
+    got = {(r.conv_id, r.turn): r for r in quote_linking.link_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+
+    def pieces(lines):
+        words = [w for x in lines for w in x.lower().split()]
+        return {" ".join(words[i : i + 5]) for i in range(len(words) - 4)} | {" ".join(x.lower().split()) for x in lines if 0 < len(x.split()) < 5}
+
+    text = {(c, t): x for c, t, _, x in rows}
+    depth, linked = {}, 0
+    for c, t, _, x in rows:
+        own = [y for y in x.split("\n") if not y.startswith(">")]
+        own = [y for k, y in enumerate(own) if not y.endswith("wrote:")]
+        assert got[c, t].body == "\n".join(own)
+        votes = Counter()
+        levels = [(len(y) - len(y.lstrip(">")), y.lstrip("> ")) for y in x.split("\n")]
+        passages = []
+        for k, (level, y) in enumerate(levels):
+            if level and (not k or levels[k - 1][0] != level):
+                passages.append((level, []))
+            if level:
+                passages[-1][1].append(y)
+        for level in {p[0] for p in passages}:
+            for piece in {q for lv, lines in passages if lv == level for q in pieces(lines)}:
+                first = next((u for u in range(8) if piece in pieces([y for y in text[c, u].split("\n") if not y.startswith(">") and not y.endswith("wrote:")])), None)
+                if first is not None and first < t:
+                    votes[-level, first] += len(piece.split())
+        best = max(votes, key=lambda v: (v[0], votes[v], v[1])) if votes else None
+        assert got[c, t].reply_to == (best[1] if best else None), (c, t)
+        depth[c, t] = depth[c, best[1]] + 1 if best else 0
+        linked += best is not None
+        assert got[c, t].depth == depth[c, t]
+        assert best is None or got[c, t].position > got[c, best[1]].position
+    assert linked > 60
+    for c in range(25):
+        assert sorted(got[c, t].position for t in range(8)) == list(range(8))
+
+
+def test_quotes_wrapped_anew_and_nested(spark):
+    talk = [
+        (1, 0, "user", "The meeting on Monday will\nbegin at nine in the large room."),
+        (1, 1, "user", "Who brings the coffee for all of us this time?"),
+        (1, 2, "user", "> the meeting on\n> Monday will begin\n> at nine in the\nI will be late."),
+        (1, 3, "user", "> I will be late.\n>> meeting on Monday will begin at nine\nNo matter."),
+        (1, 4, "user", "> brings the coffee for all\nI do."),
+    ]
+    got = {r.turn: (r.reply_to, r.depth, r.position, r.body) for r in quote_linking.link_conversations(spark.createDataFrame(talk, "conv_id long, turn long, role string, text string")).collect()}
+    assert [got[t][0] for t in range(5)] == [None, None, 0, 2, 1] and [got[t][1] for t in range(5)] == [0, 0, 1, 2, 1]
+    assert [got[t][2] for t in range(5)] == [0, 3, 1, 2, 4] and got[3][3] == "No matter."
