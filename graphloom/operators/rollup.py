@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Collection
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,20 +15,24 @@ def values_by_key(triples: DataFrame) -> DataFrame:
     return triples.groupBy("id", "key").agg(F.array_sort(F.collect_set("value")).alias("values"))
 
 
-def rollup(triples: DataFrame, strict: bool = False) -> DataFrame:
+def rollup(triples: DataFrame, strict: bool = False, keys: Collection[str] | None = None) -> DataFrame:
     """One row per element: id, labels, from, to, properties, type.
 
     One aggregation by id gathers the set of an element's (key, value) pairs, so there is one exchange and no join, and
     repeated triples are merged before it: an element that millions of rows repeat costs each task one row. The rest is
     array functions over the sorted set. Labels and values are sorted sets. Of several ends the least is taken, or with
     ``strict`` the job fails, as it does for an edge without an end or a type. An element with only a ``@to`` is a node.
+    With ``keys`` only these go into the rows, before the exchange; elements without any of them are absent. Give the same
+    keys to the mapping, and other columns are not even read.
     """
+    if keys is not None:
+        triples = triples.where(F.col("key").isin(*keys))
     gathered = triples.where("value IS NOT NULL").groupBy("id").agg(F.array_sort(F.collect_set(F.struct("key", "value"))).alias("pairs"))
     own = gathered.select("id", F.filter("pairs", lambda p: p["key"].isin(*RESERVED)).alias("own"), F.filter("pairs", lambda p: ~p["key"].isin(*RESERVED)).alias("rest"))
     under = lambda pairs, key: F.transform(F.filter(pairs, lambda p: p["key"] == key), lambda p: p["value"])
     none = lambda key: F.when(F.size(under("own", key)) > 0, under("own", key))
-    keys = F.array_distinct(F.transform("rest", lambda p: p["key"]))
-    rows = own.select("id", none(TYPE).alias("labels"), none(FROM).alias("froms"), none(TO).alias("tos"), F.map_from_arrays(keys, F.transform(keys, lambda k: under("rest", k))).alias("properties"))
+    names = F.array_distinct(F.transform("rest", lambda p: p["key"]))
+    rows = own.select("id", none(TYPE).alias("labels"), none(FROM).alias("froms"), none(TO).alias("tos"), F.map_from_arrays(names, F.transform(names, lambda k: under("rest", k))).alias("properties"))
     begin, end = F.get("froms", F.lit(0)), F.get("tos", F.lit(0))
     if strict:
         fails = lambda c, bad, what: F.when(bad, F.raise_error(F.concat(F.lit(f"{what}: "), F.col("id"))).cast("string")).otherwise(c)

@@ -21,11 +21,13 @@ class Mode(StrEnum):
 
 @dataclass(frozen=True)
 class LoadConfig:
-    """Settings of a load. Pauses are in seconds between ``min_pause`` and ``max_pause``."""
+    """Settings of a load. Pauses are in seconds between ``min_pause`` and ``max_pause``; ``max_concurrency`` bounds the
+    partitions that write at once, Spark's own parallelism if absent."""
 
     modes: Mapping[str, Mode] = field(default_factory=dict)
     default_mode: Mode = Mode.AUTO
     batch_size: int = 2500
+    max_concurrency: int | None = None
     max_retries: int = 10
     min_pause: timedelta = timedelta(seconds=2)
     max_pause: timedelta = timedelta(minutes=2)
@@ -41,7 +43,8 @@ class LoadConfig:
             out["default_mode"] = mode(given["default_property_config"])
         if "property_configs" in given:
             out["modes"] = {k: mode(v) for k, v in (given["property_configs"] or {}).items()}
-        names = {"loader_batch_size": "batch_size", "max_retries": "max_retries", "common_node_label": "common_label"}
+        # the names of configuration files, and the short one of retries
+        names = {"loader_batch_size": "batch_size", "loader_max_concurrency": "max_concurrency", "max_transaction_retries": "max_retries", "max_retries": "max_retries", "common_node_label": "common_label"}
         out |= {to: given[name] for name, to in names.items() if name in given}
         if "max_retry_pause" in given:
             pause = given["max_retry_pause"]

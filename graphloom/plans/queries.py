@@ -37,8 +37,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _place(spark: SparkSession, sf_dir: str, name: str) -> str:
-    """A new folder that driver and executors share: under spark.checkpoint.dir, else the warehouse."""
+    """A new folder that driver and executors share: under spark.checkpoint.dir, else the warehouse, if that is a shared one."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    if not spark.conf.get("spark.checkpoint.dir", None) and base.startswith(("/", "file:")) and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("Set spark.checkpoint.dir to a folder that the driver and all executors share")
     return f"{base.rstrip('/')}/graphloom-{name}-{uuid.uuid4().hex}"
 
 
@@ -61,8 +63,12 @@ CUSTOMER_IN = ElementMapping(None, (type_is("inNation"), source(column("c_custke
 PART = ElementMapping(column("p_partkey").wrapped("part:"), (type_is("Part"), prop("name", "p_name"), prop("brand", "p_brand"), prop("size", "p_size")))
 
 
-def _orders_graph(spark: SparkSession, d: str) -> DataFrame:
-    return rollup(fuse(ORDER, PLACED_BY).triples(_table(spark, d, "orders")).union(CUSTOMER.triples(_table(spark, d, "customer"))))
+#: What questions to the shape of a graph need of its elements.
+SHAPE = ("@type", "@from", "@to")
+
+
+def _orders_graph(spark: SparkSession, d: str, keys: tuple[str, ...] | None = None) -> DataFrame:
+    return rollup(fuse(ORDER, PLACED_BY).triples(_table(spark, d, "orders"), keys).union(CUSTOMER.triples(_table(spark, d, "customer"), keys)), keys=keys)
 
 
 def _places_graph(spark: SparkSession, d: str) -> DataFrame:
@@ -378,7 +384,7 @@ def _(spark, d):
 
 
 def _some_customers(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    pg = _orders_graph(spark, d)
+    pg = _orders_graph(spark, d, (*SHAPE, "segment"))
     kept = F.array_contains(F.col("properties")["segment"], '"BUILDING"') | F.array_contains("labels", "Order")
     return graph.edges(pg), graph.nodes(pg).where(kept)
 
@@ -395,12 +401,12 @@ def _(spark, d):
 
 @_query("match_one_hop", """SELECT 'order:' || o_orderkey AS "from", 'placedBy:order:' || o_orderkey || '-customer:' || o_custkey AS edge, 'customer:' || o_custkey AS "to" FROM orders JOIN customer ON o_custkey = c_custkey""")  # J6
 def _(spark, d):
-    return graph.one_hop(_orders_graph(spark, d), "Order", "placedBy", "Customer")
+    return graph.one_hop(_orders_graph(spark, d, SHAPE), "Order", "placedBy", "Customer")
 
 
 @_query("match_two_hops", """SELECT n_nationkey AS nation, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON n_nationkey = c_nationkey GROUP BY 1""")  # J6
 def _(spark, d):
-    pg = rollup(reduce(DataFrame.union, [fuse(ORDER, PLACED_BY).triples(_table(spark, d, "orders")), fuse(CUSTOMER, CUSTOMER_IN).triples(_table(spark, d, "customer")), NATION.triples(_table(spark, d, "nation"))]))
+    pg = rollup(reduce(DataFrame.union, [fuse(ORDER, PLACED_BY).triples(_table(spark, d, "orders"), SHAPE), fuse(CUSTOMER, CUSTOMER_IN).triples(_table(spark, d, "customer"), SHAPE), NATION.triples(_table(spark, d, "nation"), SHAPE)]), keys=SHAPE)
     first = graph.one_hop(pg, "Order", "placedBy", "Customer").select(F.col("to").alias("via"))
     second = graph.one_hop(pg, "Customer", "inNation", "Nation").select(F.col("from").alias("via"), "to")
     return first.join(second, "via").groupBy(F.substring_index("to", ":", -1).cast("int").alias("nation")).agg(F.count(F.lit(1)).alias("n"))
@@ -413,7 +419,7 @@ def _(spark, d):
 
 @_query("label_counts", f"SELECT type, labels AS label, count(*) AS n FROM ({_ORDERS_GRAPH}) GROUP BY ALL")  # A6 A8
 def _(spark, d):
-    return graph.label_counts(_orders_graph(spark, d))
+    return graph.label_counts(_orders_graph(spark, d, SHAPE))
 
 
 @_query("expected_cardinalities", "SELECT count(DISTINCT l_orderkey) AS orders, count(DISTINCT l_partkey) AS parts, (SELECT count(*) FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem)) AS pairs FROM lineitem")  # A8

@@ -42,14 +42,15 @@ def lines(pg: DataFrame, codecs: Mapping[str, Codec] | None = None, codec: Codec
     return pg.select(F.concat(F.lit('{"type":'), _text("type"), F.lit(',"id":'), _text("id"), F.lit(',"labels":'), labels, F.lit(',"properties":'), properties, ends, F.lit("}")).alias("line"))
 
 
-def write(pg: DataFrame | str, path: str, spark: SparkSession | None = None, codecs: Mapping[str, Codec] | None = None) -> None:
+def write(pg: DataFrame | str, path: str, spark: SparkSession | None = None, codecs: Mapping[str, Codec] | None = None, codec: Codec = JSON) -> None:
     """A folder of text files, written by the executors."""
-    lines(load(pg, spark), codecs).write.mode("overwrite").text(path)
+    lines(load(pg, spark), codecs, codec).write.mode("overwrite").text(path)
 
 
-def export(pg: DataFrame | str, out: str | Path | TextIO | None = None, spark: SparkSession | None = None, codecs: Mapping[str, Codec] | None = None) -> str | None:
-    """One file, an open file, or the text itself if there is neither. Partitions pass through the driver one by one."""
-    rows = lines(load(pg, spark), codecs).toLocalIterator()
+def export(pg: DataFrame | str, out: str | Path | TextIO | None = None, spark: SparkSession | None = None, codecs: Mapping[str, Codec] | None = None, codec: Codec = JSON) -> str | None:
+    """One file, an open file, or the text itself if there is neither. Partitions pass through the driver one by one; the
+    text itself is held there, so it is for small graphs."""
+    rows = lines(load(pg, spark), codecs, codec).toLocalIterator()
     if out is None:
         held = io.StringIO()
         held.writelines(f"{r.line}\n" for r in rows)

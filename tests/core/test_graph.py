@@ -1,15 +1,22 @@
 import io
 import json
+import re
+import uuid
+from contextlib import contextmanager, nullcontext
 from datetime import timedelta
+from pathlib import Path
+from types import SimpleNamespace
 
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from graphloom import cli
+from graphloom.config import load_config
 from graphloom.functions.codec import Codec
 from graphloom.operators import graph, shaping
 from graphloom.operators.rollup import problems, rollup, values_by_key
+from graphloom.plans import queries
 from graphloom.sources import jsonl
 from graphloom.sources.graph_store import FolderSink, Neo4jSink, create_driver, elements_json, load_graph, retrying
 from graphloom.testing import assert_same, same
@@ -132,6 +139,104 @@ def test_load_settings():
             shaping.LoadConfig.of(bad)
 
 
+def test_documented_configuration(tmp_path, monkeypatch):
+    monkeypatch.setenv("DB_PASSWORD", "hidden")
+    (tmp_path / "c.yml").write_text("""
+neoloader:
+  default_property_config: {multi_value_mode: multiple}
+  property_configs:
+    has_pvalue: {multi_value_mode: single}
+  loader_batch_size: 3000
+  loader_max_concurrency: 8
+  max_transaction_retries: 3
+  max_retry_pause: {seconds: 10, minutes: 0}
+neo4j:
+  uri: bolt://somewhere:7687
+  auth: {user: me, password: "${DB_PASSWORD}"}
+  connection_timeout: 15
+""")
+    got = cli.Settings.of(load_config(tmp_path / "c.yml"), user="you")
+    c = got.load
+    assert (c.batch_size, c.max_concurrency, c.max_retries, c.max_pause, c.mode("has_pvalue"), c.mode("x")) == (3000, 8, 3, timedelta(seconds=10), "single", "multiple")
+    assert got.connection() == {"uri": "bolt://somewhere:7687", "auth": {"user": "you", "password": "hidden"}, "connection_timeout": 15}
+
+
+def test_what_is_written_again_has_no_doubles(spark, tmp_path):
+    class Failing(FolderSink):
+        """Breaks off after two batches of a partition, unless mended."""
+
+        def write_nodes(self, batch):
+            if not Path(self.folder, "mended").exists():
+                self.n = getattr(self, "n", 0) + 1
+                if self.n > 2:
+                    raise RuntimeError("lost")
+            super().write_nodes(batch)
+
+    triples = spark.range(200).selectExpr("concat('n', id) as id", "'@type' as key", "'T' as value")
+    sink, config = Failing(str(tmp_path)), shaping.LoadConfig(batch_size=7, max_concurrency=3)
+    with pytest.raises(Exception, match="lost"):
+        load_graph(spark, rollup(triples.repartition(5)), sink, do_edges=False, config=config)
+    assert 0 < len(stored(tmp_path, "nodes")) < 200
+    (tmp_path / "mended").touch()
+    assert load_graph(spark, rollup(triples.repartition(7)), sink, do_edges=False, config=config) == 200
+    assert [r["id"] for r in stored(tmp_path, "nodes")] == sorted(f"n{i}" for i in range(200))
+
+
+def test_partitions_that_write_at_once(spark, tmp_path):
+    class Counting(FolderSink):
+        """Tells how many partitions it was opened for."""
+
+        @contextmanager
+        def opened(self):
+            Path(self.folder).mkdir(parents=True, exist_ok=True)
+            Path(self.folder, f"opened-{uuid.uuid4().hex}").touch()
+            yield self
+
+    lines = [json.dumps({"type": "node", "id": f"n{i}", "labels": ["T"], "properties": {}}) for i in range(50)]
+    assert load_graph(spark, lines, Counting(str(tmp_path)), do_edges=False, config=shaping.LoadConfig(max_concurrency=2, batch_size=3)) == 50
+    assert len(list(tmp_path.glob("opened-*"))) == 2
+
+
+class Database:
+    """As much of a driver as the sink uses: a transaction is kept only if its work ends well."""
+
+    def __init__(self, nodes):
+        self.nodes, self.kept = nodes, []
+
+    def session(self):
+        return nullcontext(self)
+
+    def execute_write(self, work):
+        mine = []
+        work(SimpleNamespace(run=lambda query, rows: SimpleNamespace(single=lambda: mine.extend(rows) or {"n": sum({r["from"], r["to"]} <= self.nodes for r in rows)})))
+        self.kept += mine
+
+
+def test_edges_without_nodes_leave_nothing(tmp_path):
+    sink = Neo4jSink()
+    sink.driver = Database({"a", "b"})
+    good, bad = {"id": "e1", "from": "a", "to": "b", "labels": ["r"], "properties": {}}, {"id": "e2", "from": "a", "to": "c", "labels": ["r"], "properties": {}}
+    with pytest.raises(ValueError, match="1 edges"):
+        sink.write_edges([good, bad])
+    assert sink.driver.kept == []
+    sink.write_edges([good])
+    assert sink.driver.kept == [good]
+
+
+def test_rollup_of_some_keys(spark, triples):
+    whole = {r.id: (r.labels, r["from"], r.to, r.type) for r in rollup(triples).collect()}
+    some = rollup(triples, keys=("@type", "@from", "@to"))
+    got = {r.id: (r.labels, r["from"], r.to, r.type) for r in some.collect()}
+    assert got == {i: r for i, r in whole.items() if r[0] or r[1] or r[2]} and all(not r.properties for r in some.collect())
+
+
+def test_questions_to_the_shape_read_no_properties(spark):
+    for name in ("label_counts", "match_one_hop", "match_two_hops"):
+        plan = queries.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        read = re.findall(r"ReadSchema: struct<[^>]*>", plan)
+        assert read and not any(c in r for r in read for c in ("o_totalprice", "o_orderstatus", "c_name", "n_name")), (name, read)
+
+
 def stored(folder, kind):
     return sorted((json.loads(x) for p in (folder / kind).glob("*.jsonl") for x in p.read_text().splitlines()), key=lambda r: r["id"])
 

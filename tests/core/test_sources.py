@@ -72,6 +72,15 @@ def test_file_sizes(spark, tmp_path):
     assert storage.save(df.limit(5), str(tmp_path / "few")).count() == 5
 
 
+def test_files_from_a_sampled_size(spark, tmp_path):
+    df = spark.range(20_000).selectExpr("id", "repeat('x', 100) as text").repartition(8)
+    size = storage.sampled_bytes(df, 0.2)
+    assert 0.8 < size / (20_000 * (100 + 24)) < 1.2
+    got = storage.save(df, str(tmp_path / "t"), target_bytes=size // 3 + 1, sample=0.2)
+    assert got.count() == 20_000 and len(list((tmp_path / "t").glob("part-*"))) == 2 or len(list((tmp_path / "t").glob("part-*"))) == 3
+    assert storage.sampled_bytes(df.limit(0)) == 0
+
+
 def test_union(spark, tmp_path):
     a = spark.createDataFrame([(1, "a")], "id long, name string")
     b = spark.createDataFrame([("b", 2)], "name string, id long")
