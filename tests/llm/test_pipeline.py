@@ -16,7 +16,7 @@ def corpus():
     for i in range(120):
         rows.append((i, say(i), "en", f"s{i % 3}" if i % 11 else None))
     rows += [(200 + i, say(5), "en", "s1") for i in range(30)] + [(300, say(7) + " " + ITEM, "en", "s0"), (301, "few words", "en", "s0"), (302, None, None, None), (303, "", "en", "s2"), (304, "rep " * 50, "en", "s0"), (305, LONG, "en", "s0")]
-    rows += [(5, say(5), "en", "s2"), (None, say(50).upper(), "en", "s2"), (400, " ".join(w + "###" for w in say(3).split()), "en", "s1")]
+    rows += [(5, say(5), "en", "s2"), (None, say(50).replace("w", "W", 2), "en", "s2"), (401, say(51).upper(), "en", "s2"), (400, " ".join(w + "###" for w in say(3).split()), "en", "s1")]
     return rows
 
 
@@ -45,7 +45,8 @@ def test_stages(spark, place, tmp_path):
         kept.append([(r.doc_id, r.text, r.source) for r in docs.collect()])
     rows = [(i, t, s) for i, t, _, s in corpus()]
     base = [r for r in rows if not ((c := counts(r[1]))[0] < 10 or 100 * c[4] > 20 * c[0])]
-    assert Counter(kept[0]) == Counter(r for r in base if "###" not in r[1])
+    # full of signs, or all in capitals where nobody else writes any
+    assert Counter(kept[0]) == Counter(r for r in base if "###" not in r[1] and r[0] != 401)
     near = lambda a, b: len(a & b) >= 0.8 * len(a | b)
     group = classes([simhash(t) for _, t, _ in kept[0]], [near_set(t) for _, t, _ in kept[0]], near)
     first = {}
