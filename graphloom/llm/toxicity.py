@@ -218,8 +218,8 @@ def learn(sample: DataFrame) -> tuple[list[bytes], list[bytes], frozenset[bytes]
             kept = [t for t in each(batch.column(0)) if lexicon[t] == EDITED]
             yield pa.RecordBatch.from_arrays([pa.array(kept, pa.binary())], ["term"])
 
-    near = counted.where(~F.col("stem") & (F.col("toxic") < 0.5 * F.col("n"))).select("term").mapInArrow(close, "term binary").collect()  # sample words within an edit of a term
-    clean = frozenset(bytes(r.term) for r in near)
+    found_close = counted.where(~F.col("stem") & (F.col("toxic") < 0.5 * F.col("n"))).select("term").mapInArrow(close, "term binary").collect()  # sample words within an edit of a term
+    clean = frozenset(bytes(r.term) for r in found_close)
     # a term with several clean neighbours says nothing when it is misspelled
     close_by = Counter(term for c in clean for term in set(near(lexicon.root, c.decode("utf-8", "replace"))))
     crowded = frozenset(term for term, n in close_by.items() if n >= 2)

@@ -473,6 +473,16 @@ def test_toxicity_misspelling_and_quotation(spark):
     assert toxicity.features(b"> wormface\nno", lexicon)[3] > 0 and toxicity.features(b"he said wormface", lexicon)[3] > 0
 
 
+def test_clean_words_close_to_a_term_stay_clean(spark):
+    rng = random.Random(14)
+    vocab = ["".join(rng.choices("aeioulnrst", k=rng.randint(3, 8))) for _ in range(200)]
+    rows = [(i, " ".join([*rng.choices(vocab, k=12), ("wormface" if i % 2 else rng.choice(["wormfact", "wormfare"])), *rng.choices(vocab, k=12)]), "en", "a") for i in range(160)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(160)], "doc_id long, toxic int")
+    words, _, clean, crowded = toxicity.train(frame(spark, rows), labels)[0]
+    assert b"wormface" in words and clean == {b"wormfact", b"wormfare"} and crowded == {b"wormface"}
+    assert all((r.score >= 0.5) == r.doc_id % 2 for r in toxicity.classify(frame(spark, rows), labels).collect())
+
+
 def test_misspellings_beyond_ascii():
     lexicon = toxicity.Lexicon([w.encode() for w in ("дурак", "傻瓜蛋", "wormface")], [])
     for term in ("дурак", "傻瓜蛋", "wormface"):
