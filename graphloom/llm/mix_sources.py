@@ -31,22 +31,40 @@ def key(doc_id: Column, text: Column) -> Column:
     return key60(F.concat(F.coalesce(doc_id.cast("string"), F.lit("~")), F.lit("|"), F.coalesce(text, F.lit("~"))))
 
 
+def ordered(rows: DataFrame, order: list[Column], **summed: str) -> DataFrame:
+    """rows, settled, with ``rank`` (from 0) in the order and, by name, the sums of columns over the rows before.
+
+    Rows are dealt to ranges, ranks and sums counted inside each and carried over the ranges, of which there are no more
+    than shuffle partitions; so no task sees all rows.
+    """
+    dealt = settle(settle(rows).repartitionByRange(*order).withColumn("range", F.spark_partition_id()))
+    names = {"rank": F.lit(1).cast("long"), **{name: F.col(c) for name, c in summed.items()}}
+    whole = dealt.groupBy("range").agg(*[F.sum(c).alias(f"in_{name}") for name, c in names.items()])
+    earlier = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    starts = whole.select("range", *[F.coalesce(F.sum(f"in_{name}").over(earlier), F.lit(0)).alias(f"to_{name}") for name in names])
+    inside = Window.partitionBy("range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    here = dealt.select("*", *[F.coalesce(F.sum(c).over(inside), F.lit(0)).alias(f"at_{name}") for name, c in names.items()])
+    told = [(F.col(f"to_{name}") + F.col(f"at_{name}")).alias(name) for name in names]
+    return settle(here.join(F.broadcast(starts), "range").select(*rows.columns, *told))
+
+
 def targets(sizes: DataFrame, weights: tuple = WEIGHTS, total: float = TOTAL, cap: float = CAP) -> DataFrame:
-    """(source, source_size, target) from (source, source_size); one row per source passes through a window.
+    """(source, source_size, target) from (source, source_size), one row per source.
 
     Sources reach their cap in the order of cap / weight, so the level at which the rest share is found from running
     sums: a source is capped if the level that would hold without it and all later ones is above its own cap.
     """
-    rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
-    w = F.element_at(F.array(*map(F.lit, weights)), (rank % len(weights) + 1).cast("int"))
-    ready = sizes.withColumn("w", w).withColumn("top", cap * F.col("source_size").cast("double")).withColumn("turn", F.col("top") / F.col("w"))
-    order = Window.orderBy("turn", F.col("source").asc_nulls_last())
-    before, all_rows = order.rowsBetween(Window.unboundedPreceding, -1), Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    left = total * F.sum("source_size").over(all_rows) - F.coalesce(F.sum("top").over(before), F.lit(0.0))
-    weight = F.sum("w").over(all_rows) - F.coalesce(F.sum("w").over(before), F.lit(0.0))
-    levelled = ready.withColumn("level", left / weight).withColumn("full", F.col("level") >= F.col("turn"))
-    share = F.min(F.when(~F.col("full"), F.struct("turn", "source", "level"))).over(all_rows)["level"]
-    return levelled.withColumn("share", share).select("source", "source_size", F.when(F.col("full") | F.col("share").isNull(), F.col("top")).otherwise(F.least("top", F.col("share") * F.col("w"))).alias("target"))
+    by_source = F.col("source").asc_nulls_last()
+    ranked = ordered(sizes, [by_source])
+    w = F.element_at(F.array(*map(F.lit, weights)), (F.col("rank") % len(weights) + 1).cast("int"))
+    ready = ranked.withColumn("w", w).drop("rank").withColumn("top", cap * F.col("source_size").cast("double")).withColumn("turn", F.col("top") / F.col("w"))
+    turned = ordered(ready, [F.col("turn").asc(), by_source], top_before="top", w_before="w")
+    sums = turned.agg(F.sum("source_size").alias("size"), F.sum("w").alias("w")).first()
+    left = F.lit(total * (sums["size"] or 0)) - F.col("top_before")
+    levelled = turned.withColumn("level", left / (F.lit(sums["w"]).cast("double") - F.col("w_before"))).withColumn("full", F.col("level") >= F.col("turn"))
+    least = levelled.agg(F.min(F.when(~F.col("full"), F.struct("turn", "source", "level"))).alias("least")).first()["least"]
+    share = F.lit(least["level"] if least else None).cast("double")
+    return levelled.select("source", "source_size", F.when(F.col("full") | share.isNull(), F.col("top")).otherwise(F.least("top", share * F.col("w"))).alias("target"))
 
 
 def thresholds(sized: DataFrame, goals: DataFrame) -> DataFrame:
