@@ -73,9 +73,9 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def small_side(df: DataFrame, bound: int = BROADCAST_ROWS) -> DataFrame:
+def small_side(df: DataFrame, bound: int | None = None) -> DataFrame:
     """df settled; marked for broadcast if its counted rows are within the bound, else left to a shuffled join."""
-    df = settle(df)
+    df, bound = settle(df), BROADCAST_ROWS if bound is None else bound
     return F.broadcast(df) if df.limit(bound + 1).count() <= bound else df
 
 

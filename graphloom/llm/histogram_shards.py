@@ -6,7 +6,8 @@ partitions, the boundaries are refined inside the interval where a cut falls, an
 tolerance or rests on one hash. Each round brings at most shards x 4096 sums to the driver. A group of equal texts moves
 as a whole to the nearer side of its cut; only a group larger than a shard is cut itself, by a hash of its ids. Then one
 exchange carries each document to its shard. Places inside a shard are counted by sub-ranges, whose sizes are summed
-first, so no task numbers a whole shard.
+first, so no task numbers a whole shard. Sub-ranges follow leading bits of both hashes; the more rows there are, the more
+bits of the id's, so that copies of one text, however many, are dealt to sub-ranges of bounded size.
 
 Edge cases. Null text: size 16, one group, like the empty text by itself. Null ids: allowed. Repeated rows: each gets a
 place of its own. Ties: equal hashes are placed by id. Fewer documents than shards: some shards stay empty. An empty
@@ -22,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from graphloom.llm._common import fresh, key60, settle
+from graphloom.llm._common import fresh, key60, settle, small_side
 
 SHARDS = 40
 #: Bytes that each document takes besides its text.
@@ -33,6 +34,8 @@ TOLERANCE = 0.001
 DIGIT, LEVELS = 12, 5
 #: Sub-ranges of a shard: leading bits of the text's and of the id's hash.
 SUB_TEXT, SUB_ID = 8, 6
+#: Rows in a sub-range at most, about, even if all texts are equal: beyond SUB_ROWS << SUB_ID rows, more bits of the id's hash count.
+SUB_ROWS = 1 << 18
 
 
 def size(text: Column) -> Column:
@@ -124,12 +127,13 @@ def _shard(k: Column, k2: Column, cuts: list[tuple[int, int]]) -> Column:
 
 def place(keyed: DataFrame, cuts: list[tuple[int, int]], counted: DataFrame, k: str, k2: str, tie: list, shard: str, slot: str) -> DataFrame:
     """keyed with its shard and slot. counted: a slim frame of the same rows with k and k2, to count sub-ranges in."""
-    sub = lambda a, b: F.shiftright(F.col(a), 60 - SUB_TEXT) * 2**SUB_ID + F.shiftright(F.col(b), 60 - SUB_ID)
+    bits = max(SUB_ID, (counted.count() // SUB_ROWS).bit_length())
+    sub = lambda a, b: F.shiftright(F.col(a), 60 - SUB_TEXT) * 2**bits + F.shiftright(F.col(b), 60 - bits)
     s, n, first, part = fresh(keyed, "gl_shard", "gl_n", "gl_first", "gl_sub")
     counts = counted.select(_shard(F.col(k), F.col(k2), cuts).alias(s), sub(k, k2).alias(part)).groupBy(s, part).agg(F.count(F.lit(1)).alias(n))
     w = Window.partitionBy(s).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
-    # at most 2^14 sub-ranges and one more for each cut, so this side is small by construction
-    firsts = F.broadcast(settle(counts.select(s, part, F.coalesce(F.sum(n).over(w), F.lit(0)).alias(first))))
+    # beyond the bound of a broadcast, rows lie by shard and sub-range for their numbers already
+    firsts = small_side(counts.select(s, part, F.coalesce(F.sum(n).over(w), F.lit(0)).alias(first)))
     rows = keyed.withColumn(s, _shard(F.col(k), F.col(k2), cuts)).withColumn(part, sub(k, k2))
     order = Window.partitionBy(s, part).orderBy(k, k2, *tie)
     numbered = rows.withColumn(n, F.row_number().over(order) - 1)

@@ -10,8 +10,9 @@ import duckdb
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
-from graphloom.llm import decontaminate, histogram_shards, mix_sources, quality_classifier, quality_rules, quote_linking, secret_scan, simhash_dedup, token_counts, toxicity
+from graphloom.llm import _common, decontaminate, histogram_shards, mix_sources, quality_classifier, quality_rules, quote_linking, secret_scan, simhash_dedup, token_counts, toxicity
 from graphloom.llm import queries as llm_queries
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -172,6 +173,19 @@ def test_mix(docs, none):
     assert mix_sources.assign(none).count() == 0 and mix_sources.mix_documents(none).count() == 0
 
 
+def test_targets_of_very_many_sources(spark):
+    rng = random.Random(5)
+    sizes = {f"site-{rng.random()}": rng.choice([0, 1, 7, 7, rng.randint(1, 10**9)]) for _ in range(3000)} | {None: 12}
+    weight = {s: (3, 1, 2)[i % 3] for i, s in enumerate(sorted(sizes, key=lambda s: (s is None, s or "")))}
+    frame_ = spark.createDataFrame(list(sizes.items()), "source string, source_size long").repartition(5)
+    got = {r.source: r.target for r in mix_sources.targets(frame_).collect()}
+    assert got.keys() == sizes.keys() and sum(got.values()) == pytest.approx(1.5 * sum(sizes.values()))
+    level = max(t / weight[s] for s, t in got.items() if t < 2 * sizes[s])
+    assert all(got[s] == pytest.approx(min(2 * n, level * weight[s])) for s, n in sizes.items())
+    plan = mix_sources.ordered(frame_, [F.col("source")])
+    assert [(r.rank, r.source) for r in plan.orderBy("rank").collect()] == list(enumerate(sorted(sizes, key=lambda s: (s is not None, s or ""))))
+
+
 def simhash(text):
     words = [re.sub("[A-Z]", lambda m: m[0].lower(), w) for w in WORD.findall(text or "")]
     if not words:
@@ -633,6 +647,18 @@ def test_shards_are_even_and_keep_copies_together(spark):
     assert max(sizes.values()) - min(sizes.values()) < 0.02 * sum(sizes.values()) / 10 + 300
 
 
+def test_sub_ranges_follow_the_rows(spark, monkeypatch):
+    rows = [(i, f"text {i}" if i % 3 else "hot text", "en", "a") for i in range(6000)]
+    before = {(r.doc_id, r.shard) for r in histogram_shards.assign(frame(spark, rows), shards=5).collect()}
+    monkeypatch.setattr(histogram_shards, "SUB_ROWS", 10)
+    monkeypatch.setattr(_common, "BROADCAST_ROWS", 10)
+    got = histogram_shards.assign(frame(spark, rows), shards=5).collect()
+    assert {(r.doc_id, r.shard) for r in got} == before
+    slots = [(r.shard, r.slot) for r in got]
+    shards = Counter(s for s, _ in slots)
+    assert sorted(slots) == [(s, i) for s in sorted(shards) for i in range(shards[s])]
+
+
 TALK = [
     (1, 0, "user", "How do I boil an egg?\nIn a pan."),
     (1, 1, "assistant", "> How do I boil an EGG?\nPut it in   water.\nWait."),
