@@ -23,6 +23,7 @@ counted part by part. Empty tables give empty results. Only the named columns ar
 from __future__ import annotations
 
 import math
+from itertools import chain
 
 import ahocorasick
 import pyarrow as pa
@@ -78,32 +79,30 @@ class Counter(dict):
     def count(self, part: str) -> int:
         """Pieces on the best way through one part."""
         score, pieces, run = [0.0], [0], [False]  # by place, from the part's place ``base``
-        base, matches = 0, self.automaton.iter(part)
-        ahead = next(matches, None)
-        for end in range(len(part)):
-            found = []
-            while ahead and ahead[0] == end:
-                found.append(ahead[1])
-                ahead = next(matches, None)
-            at = end - base
-            best, way, single = -math.inf, -1, False
-            for length, value in sorted(found, reverse=True):  # the piece that begins first comes first
-                s = score[at + 1 - length] + value
-                if s > best:
-                    best, way = s, at + 1 - length
-                single = single or length == 1
-            if not single and score[at] + self.unknown > best:
-                best = score[at] + self.unknown
-                pieces.append(pieces[at] + (len(part[end].encode()) if self.bytes else not run[at]))
-                run.append(True)
-            else:
-                pieces.append(pieces[way] + 1)
-                run.append(False)
-            score.append(best)
-            if len(score) > TRIM + self.longest:
-                for held in (score, pieces, run):
-                    del held[:TRIM]
-                base += TRIM
+        base, at, longest = 0, 0, self.longest
+        best, way, single = -math.inf, -1, False
+        # the automaton tells matches by their ends, at one end the piece that begins first comes first; the last is a stop
+        for end, (length, value) in chain(self.automaton.iter(part), ((len(part), (1, 0.0)),)):
+            while base + at < end:  # all matches up to there are told
+                if not single and score[at] + self.unknown > best:
+                    best = score[at] + self.unknown
+                    pieces.append(pieces[at] + (len(part[base + at].encode()) if self.bytes else not run[at]))
+                    run.append(True)
+                else:
+                    pieces.append(pieces[way] + 1)
+                    run.append(False)
+                score.append(best)
+                at += 1
+                if at >= TRIM + longest:
+                    for held in (score, pieces, run):
+                        del held[:TRIM]
+                    base, at = base + TRIM, at - TRIM
+                best, way, single = -math.inf, -1, False
+            s = score[at + 1 - length] + value
+            if s > best:
+                best, way = s, at + 1 - length
+            if length == 1:
+                single = True
         return pieces[-1]
 
     def of(self, text: str | None) -> int:
