@@ -8,6 +8,7 @@ from functools import cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from graphloom.functions.codec import JSON, Codec
 from graphloom.model import FROM, TO, TYPE, is_reserved
@@ -20,36 +21,49 @@ def _named(df: DataFrame, name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`") if name in df.columns else F.lit(None).cast("string")
 
 
+def _joined(*parts: tuple[str, ...] | None) -> tuple[str, ...] | None:
+    """The pieces of values one after the other; the texts that meet become one."""
+    if any(p is None for p in parts):
+        return None
+    out = parts[0]
+    for p in parts[1:]:
+        out = (*out[:-1], out[-1] + p[0], *p[1:])
+    return out
+
+
 @dataclass(frozen=True)
 class Value:
-    """Something computed from an input row. ``columns`` are the input columns it needs, if it knows them."""
+    """Something computed from an input row. ``columns`` are the input columns it needs, if it knows them. ``pieces`` are
+    texts and columns in turn (text, column, text, ..., text) where the value's text is just these, joined."""
 
     build: Callable[[DataFrame], Column]
     columns: tuple[str, ...] | None = None
     name: str | None = None
+    pieces: tuple[str, ...] | None = None
 
     def resolve(self, df: DataFrame) -> Column:
         return self.build(df)
 
     def map(self, fn: Callable[[Column], Column]) -> Value:
         """The value after fn; calls apply in their order, serialisation comes last."""
-        return replace(self, build=lambda df: fn(self.build(df)))
+        return replace(self, build=lambda df: fn(self.build(df)), pieces=None)
 
     def wrapped(self, prefix: str = "", postfix: str = "") -> Value:
         """prefix + text + postfix; null where the value is null or empty."""
         text = lambda c: c.cast("string")
-        return self.map(lambda c: F.when(text(c) != "", F.concat(F.lit(prefix), text(c), F.lit(postfix))))
+        made = self.map(lambda c: F.when(text(c) != "", F.concat(F.lit(prefix), text(c), F.lit(postfix))))
+        return replace(made, pieces=_joined((prefix,), self.pieces, (postfix,)))
 
     def as_property(self, key: str | None = None, codec: Codec | None = None) -> Property:
         return Property(key or self.name or "", self, codec)
 
 
 def column(name: str) -> Value:
-    return Value(lambda df: _named(df, name), (name,), name)
+    return Value(lambda df: _named(df, name), (name,), name, ("", name, ""))
 
 
 def constant(value) -> Value:
-    return Value(lambda df: F.lit(value), ())
+    return Value(lambda df: F.lit(value), (), pieces=(value,) if isinstance(value, str) else None)
 
 
 def expression(fn: Callable[..., Column], *names: str) -> Value:
@@ -150,7 +164,21 @@ def edge_id(kind: Value | str, begin: Value | str, end: Value | str, prefix: str
             return F.when(there, whole)
         return F.when(there, whole).otherwise(F.raise_error(F.lit("An edge needs a type and both ends")).cast("string"))
 
-    return Value(build, _union(t, f, e))
+    return Value(build, _union(t, f, e), pieces=_joined((prefix,), t.pieces, (":",), f.pieces, ("-",), e.pieces))
+
+
+def one_to_one(of: Value, df: DataFrame) -> bool:
+    """Whether rows that differ in the value's columns surely differ in its text.
+
+    So it is with whole numbers, each set off from the next by a text that no number can run into; the last column may
+    be a string.
+    """
+    if of.pieces is None or not (names := of.pieces[1::2]) or any(df.columns.count(n) != 1 for n in names):
+        return False
+    kinds = [df.schema[n].dataType for n in names]
+    whole = [isinstance(k, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)) for k in kinds]
+    apart = all(t == "-" or t.strip("-0123456789") for t in of.pieces[2:-1:2])
+    return apart and all(whole[:-1]) and (whole[-1] or kinds[-1].simpleString() == "string")
 
 
 @dataclass(frozen=True)

@@ -3,20 +3,25 @@ import json
 import re
 import uuid
 from contextlib import contextmanager, nullcontext
+from dataclasses import replace
 from datetime import timedelta
+from functools import reduce
 from pathlib import Path
 from types import SimpleNamespace
 
 import duckdb
 import pytest
 from pyspark.errors import PySparkException
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom import cli
 from graphloom.config import load_config
 from graphloom.functions.codec import Codec
 from graphloom.operators import graph, shaping
-from graphloom.operators.rollup import problems, rollup, values_by_key
+from graphloom.functions.values import AutoEdgeId, column, constant, edge_id, one_to_one, prop, source, target, type_is
+from graphloom.operators.mapping import ElementMapping, fuse
+from graphloom.operators.rollup import problems, rollup, rollup_rows, values_by_key
 from graphloom.plans import queries
 from graphloom.sources import jsonl
 from graphloom.sources.graph_store import FolderSink, Neo4jSink, create_driver, elements_json, load_graph, retrying
@@ -234,6 +239,41 @@ def test_edges_without_nodes_leave_nothing(tmp_path):
     assert sink.driver.kept == [good]
 
 
+def test_rollup_by_columns_equals_that_of_triples(spark):
+    pairs = [(1, 2, 5.0, "2020-01-01 10:00:00", "x"), (1, 2, 5.0, "2020-01-01 10:00:00.5", ""), (1, 2, 7.0, None, "y"), (-1, 2, None, None, None), (12, 3, -0.0, "1999-01-01", 'q"'), (1, -23, 0.0, "1999-01-01", "é")]
+    df = spark.createDataFrame(pairs * 3, "a long, b int, v double, t string, s string").withColumn("t", F.col("t").cast("timestamp")).repartition(3)
+    odd = spark.createDataFrame([(1, "x", None), (2, "", "n"), (None, "y", "n"), (3, "y-1", None)], "k long, s string, n string")
+    begin, end = column("a").wrapped("a:"), column("b").wrapped("b", "!")
+    edge = ElementMapping(AutoEdgeId("p:"), (type_is("of"), source(begin), target(end), prop("v"), prop("t"), prop("s"), prop("v", "b"), prop("a"), prop("c", constant(1))))
+    node = ElementMapping(column("k").wrapped("k:"), (type_is("K"), prop("@type", "s"), prop("n"), prop("none", "no_such_column")))
+    untyped = ElementMapping(column("s").wrapped("s:"), (prop("n"),))
+    apart = ElementMapping(edge_id("skip", column("k"), column("s"), on_missing="skip"), (type_is("skip"), source("k"), target("s"), target("n")))
+    unclear = ElementMapping(column("s").map(F.upper).wrapped("u:"), (type_is("U"), prop("k")))
+    shared = ElementMapping(column("k").wrapped("k:"), (prop("s"),))
+    for parts in ([(edge, df)], [(node, odd)], [(untyped, odd)], [(apart, odd)], [(unclear, odd)], [(fuse(node, untyped, apart), odd), (edge, df)], [(fuse(node, unclear), odd), (shared, odd), (edge, df)]):
+        for keys in (None, ("@type", "v"), ("n", "t")):
+            assert_same(rollup_rows(*parts, keys=keys).orderBy("id"), rollup(reduce(DataFrame.union, [m.triples(d, keys) for m, d in parts]), keys=keys).orderBy("id"), ignoreNullable=True)
+    with pytest.raises(PySparkException, match="both ends"):
+        rollup_rows((ElementMapping(None, (type_is("e"), source("k"), target("s"))), odd)).collect()
+    with pytest.raises(PySparkException, match="Several @to"):
+        rollup_rows((apart.with_properties(target("n"), target(constant("z"))), odd), strict=True).collect()
+
+
+def test_ids_known_to_be_one_to_one(spark):
+    df = spark.createDataFrame([(1, 2, "s", 0.5)], "a long, b int, s string, d double")
+    a, b, s = column("a"), column("b"), column("s")
+    sure = [a, b.wrapped("x", "1"), s.wrapped("s:"), edge_id("t", a, b), edge_id("t", a.wrapped("1", "x2"), s, "p")]
+    unsure = [column("d"), column("none"), constant("c"), a.map(F.abs), edge_id("t", s, a), edge_id(s, a, b), edge_id("t", a, b.map(F.abs).wrapped("x"))]
+    assert [one_to_one(v, df) for v in sure] == [True] * 5 and not any(one_to_one(v, df) for v in unsure)
+    assert not one_to_one(replace(a, pieces=("", "a", "1", "b", "")), df) and not one_to_one(replace(a, pieces=("", "a", "", "b", "")), df)
+
+
+def test_edges_are_sent_as_their_columns(spark, tmp_path):
+    spark.range(10).selectExpr("id AS l_orderkey", "id % 3 AS l_partkey", "CAST(id AS double) AS l_quantity", "timestamp_seconds(id) AS l_shipdate").write.parquet(str(tmp_path / "lineitem.parquet"))
+    plan = queries.queries()["pg_rollup_edges"](spark, str(tmp_path))._jdf.queryExecution().sparkPlan().toString()
+    assert "Generate" not in plan and re.search(r"keys=\[l_orderkey#\d+L, l_partkey#\d+L\]", plan)
+
+
 def test_rollup_of_some_keys(spark, triples):
     whole = {r.id: (r.labels, r["from"], r.to, r.type) for r in rollup(triples).collect()}
     some = rollup(triples, keys=("@type", "@from", "@to"))
